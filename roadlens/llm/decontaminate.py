@@ -36,8 +36,10 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return windows.distinct().withColumn("key", F.xxhash64("window"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids (sorted as strings), hit_words (places from 0), contaminated.
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, carry: list[str] | None = None, broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with n_words, n_hit, item_ids (sorted as strings), hit_words (places from 0), contaminated.
 
     A window is ``n`` consecutive words of an item; an item of fewer, but not none, is one window. A document's
     word inside any occurrence of a window is hit. Null and empty texts have no words and hit nothing; null
@@ -56,7 +58,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_
     found = F.broadcast(found) if small else found.hint("shuffle_hash")
 
     added = ["n_words", "n_hit", "item_ids", "hit_words", "contaminated"]
-    kept = [c for c in docs.columns if c not in added]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     rows = docs.select(*[F.col(quoted(c)) for c in kept], words_of(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
     # A place is 16 * start + width, and -1 stands for the document itself, so that one without windows stays.
     # Sequences alone keep the scan, both projections, the explosion and the join in one generated loop, where
@@ -103,7 +105,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> D
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns."""
-    found = contamination(docs.select("doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))), benchmark)
+    found = contamination(docs, benchmark, carry=["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated",

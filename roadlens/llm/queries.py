@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadlens.llm import decontaminate
+from roadlens.llm import decontaminate, langid, pii, secrets, simhash
 from roadlens.llm.common import table
 
 
@@ -12,5 +12,21 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op6_benchmark_decontamination,)}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op1(table(spark, sf_dir, "documents"))
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op5(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op9(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_personal_data, op5_simhash, op6_benchmark_decontamination, op9_secrets)}
 SQL = {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
