@@ -59,7 +59,8 @@ def contamination(
 
     added = ["n_words", "n_hit", "item_ids", "hit_words", "contaminated"]
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    rows = docs.select(*[F.col(quoted(c)) for c in kept], words_of(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
+    # Carried columns go under names of ours, so that none can clash.
+    rows = docs.select(*[F.col(quoted(c)).alias(f"own_{i}") for i, c in enumerate(kept)], words_of(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
     # A place is 16 * start + width, and -1 stands for the document itself, so that one without windows stays.
     # Sequences alone keep the scan, both projections, the explosion and the join in one generated loop, where
     # a window is ten references and no row is copied before it hits.
@@ -75,7 +76,7 @@ def contamination(
     met = spread.join(found, F.col("__key") == F.col("key"), "left").filter((F.col("__place") < 0) | (F.col("__window") == F.col("w_window")))
     met = met.select(
         F.col("__row").alias("row"),
-        F.when(F.col("__place") < 0, F.struct(F.lit(1).alias("is_row"), F.size("__words").alias("n_words"), *[F.col(quoted(c)).alias(f"own_{c}") for c in kept])).alias("own"),
+        F.when(F.col("__place") < 0, F.struct(F.lit(1).alias("is_row"), F.size("__words").alias("n_words"), *[F.col(f"own_{i}") for i in range(len(kept))])).alias("own"),
         F.when(F.col("__place") >= 0, F.struct(F.col("__at").alias("at"), F.col("w_width").alias("width"))).alias("hit"),
         "w_items",
     )
@@ -86,7 +87,7 @@ def contamination(
     )
     per_doc = per_doc.withColumn("hit_words", F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["width"] - 1))))))
     return per_doc.select(
-        *[F.col("own")[f"own_{c}"].alias(c) for c in kept],
+        *[F.col(f"own.own_{i}").alias(c) for i, c in enumerate(kept)],
         F.col("own.n_words").cast("long").alias("n_words"),
         F.size("hit_words").cast("long").alias("n_hit"),
         F.array_sort("items").alias("item_ids"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import with_text_columns
+from roadlens.llm.common import quoted, with_text_columns
 
 UNKNOWN = "und"
 #: Labelled rows sampled for each language, and code points taken of each: what bounds the dictionaries.
@@ -126,9 +126,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with the columns of ``docs``; learned from those of them that aren't held out."""
     added = set(FIELDS.names)
-    renamed = docs.select(*[F.col(f"`{c}`").alias(f"own_{c}" if c in added else c) for c in docs.columns])
+    renamed = docs.select(*[F.col(quoted(c)).alias(f"own_{c}" if c in added else c) for c in docs.columns])
     kept = identify(renamed, learn(training_rows(docs))).filter(~F.col("rejected"))
-    return kept.select(*[F.col(f"`own_{c}`" if c in added else f"`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(quoted(f"own_{c}" if c in added else c)).alias(c) for c in docs.columns])
 
 
 def op1(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadlens.llm import decontaminate, langid, pii, secrets, simhash
+from roadlens.llm import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, vectors, warc
 from roadlens.llm.common import table
 
 
@@ -28,5 +28,44 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op9(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_personal_data, op5_simhash, op6_benchmark_decontamination, op9_secrets)}
-SQL = {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.op2(table(spark, sf_dir, "embeddings"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op3(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op7(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_embedding_near_dedup,
+        op3_substring_dedup,
+        op4_personal_data,
+        op5_simhash,
+        op6_benchmark_decontamination,
+        op7_packing,
+        op8_quality,
+        op9_secrets,
+        op10_warc,
+    )
+}
+#: SQL tells neither learned models, XXH64, zstandard nor tokens; tests hold the others against brute force.
+SQL = {
+    "op2_embedding_near_dedup": vectors.OP2_SQL,
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    "op10_warc": warc.OP10_SQL,
+}

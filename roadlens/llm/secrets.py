@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, with_text_columns
+from roadlens.llm.common import quoted, with_text_columns, write_out
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -201,7 +201,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int =
         return compute
 
     found = with_text_columns(sample, "text", fields, make).select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
-    numbered = found.withColumn("h", F.xxhash64("value"))
+    # At most SAMPLE_DOCS documents' findings, read once for each kind.
+    numbered = write_out(found.withColumn("h", F.xxhash64("value")), "labelled-values")
     labelled = {kind: [r["value"] for r in numbered.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample_values).collect()] for kind in (*BASE, "")}
     ordinary = labelled.pop("")
     return Model(labelled, ordinary)

@@ -301,8 +301,9 @@ def near_duplicates(docs: DataFrame, limit: int = 4, width: int = 4, chunk: int
     empty texts have fingerprint zero, which links like any other. Clashing columns are replaced.
     """
     kept = [c for c in docs.columns if c not in ("fingerprint", "component_id")]
-    printed = fingerprints(docs.select(*[F.col(quoted(c)) for c in kept]), width)
-    return _grouped(printed, limit, chunk)
+    packed = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    printed = fingerprints(packed, width).select("doc", "doc_id", "fingerprint")
+    return _grouped(printed, limit, chunk).select("doc.*", "fingerprint", "component_id")
 
 
 def _grouped(printed: DataFrame, limit: int, chunk: int) -> DataFrame:
