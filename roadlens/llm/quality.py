@@ -2,8 +2,8 @@
 
 Overlapping heuristics vote on each document: good, bad, or no opinion. Expectation-maximisation over the
 counts of all vote patterns estimates how often each of them is right, without any given label. The posterior
-of a document's pattern then labels a bounded sample, on which a linear scorer over hashed words is trained;
-what it learned applies to documents on which no heuristic has an opinion.
+of a document's pattern then labels a bounded sample, on which a linear scorer over hashed words is trained.
+One of the heuristics knows word beginnings that mark texts labelled toxic, where there are such labels.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,11 +28,20 @@ INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid tra
 WORD = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]")
 PLAIN_MARKS = frozenset(".,;:!?'\"()-")
-#: Sampled documents the scorer is trained on, the first by the text's hash.
-SAMPLE_DOCS = 20_000
+#: Sampled documents that the prefixes and the scorer are learned from, the first by the text's hash.
+SAMPLE_DOCS = 10_000
+#: Letters of a word's beginning, shares of a text's words, and what a beginning needs to mark toxic texts.
+PREFIX = 5
+PREFIX_RATES = (0.003, 0.006, 0.01, 0.015, 0.02, 0.03)
+PREFIX_SUPPORT = 8
+PREFIX_PRECISION = 0.9
 BUCKETS = 1 << 16
 EPOCHS = 6
 EM_ROUNDS = 60
+#: Chances of the votes bad, none and good, given a good and a bad document, before anything is seen, and the
+#: prior's weight as a share of the documents.
+PRIOR = ((0.002, 0.598, 0.4), (0.2, 0.75, 0.05))
+PRIOR_WEIGHT = 0.1
 #: Documents with a lower probability to be good are not kept.
 THRESHOLD = 0.5
 
@@ -39,13 +49,13 @@ GOOD, NONE, BAD = 1, 0, -1
 
 # Heuristics: each looks at the whole text's statistics and votes.
 
-NAMES = ("insults", "marks", "capitals", "repeated_words", "repeated_lines", "short_lines", "word_length", "sentences")
+NAMES = ("insults", "prefixes", "marks", "capitals", "repeated_words", "repeated_lines", "short_lines", "word_length", "sentences")
 
 
 class Analysis:
     """A text's words and marks with their counts, and the votes of the heuristics of NAMES on it."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, rules: dict[str, float] | None = None) -> None:
         words, lower = WORD.findall(text), WORD.findall(text.lower())
         marks = MARKS.findall(text)
         lines = [x for x in text.split("\n") if x.strip()]
@@ -59,20 +69,57 @@ class Analysis:
         bars = self.marks["|"] / n
         length = sum(map(len, words)) / n
         stops = sum(self.marks[m] for m in ".?!") / n
+        marked = bool(rules) and any(c / n >= rules[p] for p, c in prefix_counts(self.words, rules).items())
+        plain = 3.5 <= length <= 9 and 0.03 <= stops <= 0.3 and odd < 0.05 and capitals < 0.1 and doubled < 0.05 and bars < 0.05 and not insults
         self.votes = [
-            BAD if insults else GOOD if count >= 50 else NONE,
-            BAD if odd > 0.2 else GOOD if odd < 0.05 and count >= 20 else NONE,
-            BAD if capitals > 0.3 else GOOD if capitals < 0.1 and count >= 20 else NONE,
-            BAD if doubled > 0.2 else GOOD if doubled < 0.05 and count >= 20 else NONE,
-            BAD if repeated > 0.3 else GOOD if repeated < 0.05 and count >= 100 else NONE,
+            BAD if insults else NONE,
+            BAD if marked else NONE,
+            BAD if odd > 0.2 else NONE,
+            BAD if capitals > 0.3 else NONE,
+            BAD if doubled > 0.2 else NONE,
+            BAD if repeated > 0.3 and len(lines) >= 4 else NONE,
             BAD if bars > 0.2 else NONE,
-            BAD if not 2.5 <= length <= 12 else GOOD if 3.5 <= length <= 9 and count >= 20 else NONE,
-            BAD if count >= 40 and stops < 0.01 else GOOD if 0.03 <= stops <= 0.3 and count >= 20 else NONE,
+            BAD if count >= 5 and not 2.5 <= length <= 12 else NONE,
+            BAD if count >= 40 and stops < 0.01 else GOOD if plain else NONE,
         ]
 
 
-def votes(text: str) -> list[int]:
-    return Analysis(text).votes
+def prefix_counts(words: Counter, wanted: dict[str, float] | None = None) -> Counter:
+    """How many words begin with each prefix (of those wanted)."""
+    found: Counter = Counter()
+    for w, c in words.items():
+        p = w[:PREFIX]
+        if wanted is None or p in wanted:
+            found[p] += c
+    return found
+
+
+def learn_prefixes(sample: list[tuple[str, bool]]) -> dict[str, float]:
+    """Word beginnings that mark toxic texts, with the least share of a text's words from which they do.
+
+    A beginning and share is taken if at least PREFIX_SUPPORT sampled texts reach it, and at least
+    PREFIX_PRECISION of them are labelled toxic; of several shares of a beginning the least.
+    """
+    bad: Counter = Counter()
+    seen: Counter = Counter()
+    for text, toxic in sample:
+        words = Counter(WORD.findall(text.lower()))
+        n = max(1, sum(words.values()))
+        for p, c in prefix_counts(words).items():
+            if len(p) == PREFIX and c / n >= PREFIX_RATES[0]:
+                reached = [(p, r) for r in PREFIX_RATES if c / n >= r]
+                seen.update(reached)
+                if toxic:
+                    bad.update(reached)
+    rules: dict[str, float] = {}
+    for (p, r), k in bad.items():
+        if k >= PREFIX_SUPPORT and k >= PREFIX_PRECISION * seen[p, r]:
+            rules[p] = min(r, rules.get(p, 1.0))
+    return rules
+
+
+def votes(text: str, rules: dict[str, float] | None = None) -> list[int]:
+    return Analysis(text, rules).votes
 
 
 def pattern_of(found: list[int]) -> int:
@@ -92,23 +139,27 @@ def votes_of(code: int) -> list[int]:
 
 
 class LabelModel:
-    """Share of good documents, and of each heuristic the chance of each vote given good or bad."""
+    """Share of good documents, and of each heuristic the chance of each vote given good or bad.
+
+    A weak prior says what a heuristic is written for: it seldom votes against the truth. Without it, the
+    likeliest two classes of a corpus may be short and long documents rather than good and bad ones.
+    """
 
     def __init__(self, counts: dict[int, int], rounds: int = EM_ROUNDS) -> None:
         codes = sorted(counts)
         n = np.array([counts[c] for c in codes], float)
         seen = np.array([votes_of(c) for c in codes], np.int64).reshape(len(codes), len(NAMES)) + 1
         one_hot = np.eye(3)[seen] if len(codes) else np.zeros((0, len(NAMES), 3))
-        # The start: one bad vote outweighs all good ones, as each heuristic sees one fault and no other.
-        score = np.where((seen == 0).any(1), -3.0, 2.0)
-        good = 1 / (1 + np.exp(-score))
+        prior = PRIOR_WEIGHT * max(1.0, n.sum()) * np.array(PRIOR)[:, None, :]
+        self.share, self.chance = np.array([0.8, 0.2]), np.repeat(np.array(PRIOR)[:, None, :], len(NAMES), 1)
+        good = self._posterior(seen)
         for _ in range(rounds):
             weight = np.stack([n * good, n * (1 - good)])
             self.share = (weight.sum(1) + 1) / (n.sum() + 2)
-            self.chance = np.einsum("cp,phv->chv", weight, one_hot) + 1
+            self.chance = np.einsum("cp,phv->chv", weight, one_hot) + prior
             self.chance /= self.chance.sum(2, keepdims=True)
             new = self._posterior(seen)
-            if len(new) and np.abs(new - good).max() < 1e-6:
+            if not len(new) or np.abs(new - good).max() < 1e-6:
                 break
             good = new
 
@@ -137,10 +188,10 @@ def features(found: Analysis) -> tuple[np.ndarray, np.ndarray]:
     return at, np.r_[2 * weight / max(1e-9, np.sqrt((weight**2).sum())), np.ones(len(NAMES))]
 
 
-def train(sample: list[tuple[str, float]], epochs: int = EPOCHS) -> np.ndarray:
+def train(sample: list[tuple[Analysis, float]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer, by adaptive gradient steps on soft labels."""
     w, g = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
-    rows = [(np.r_[at, BUCKETS], np.r_[weight, 1.0], label) for text, label in sample for at, weight in [features(Analysis(text))]]
+    rows = [(np.r_[at, BUCKETS], np.r_[weight, 1.0], label) for found, label in sample for at, weight in [features(found)]]
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
@@ -155,31 +206,52 @@ VOTES = T.StructType([T.StructField("pattern", T.IntegerType())])
 SCORES = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("p_good", T.DoubleType()), T.StructField("p_label", T.DoubleType())])
 
 
-def _voter() -> Callable[[list], list[list]]:
-    return lambda texts: [[pattern_of(votes(t or "")) for t in texts]]
+def _voter(rules: dict[str, float]) -> Callable[[], Callable[[list], list[list]]]:
+    return lambda: lambda texts: [[pattern_of(votes(t or "", rules)) for t in texts]]
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LabelModel, np.ndarray]:
-    """The label model over the vote patterns of all documents, and the scorer trained on a bounded sample.
+class Model(NamedTuple):
+    rules: dict[str, float]
+    labels: LabelModel
+    weights: np.ndarray
 
-    The counts have a row for each of 3 ** 8 patterns at most. Null texts count as empty ones.
-    """
-    counts = {r["pattern"]: r["n"] for r in with_text_columns(docs.select("text"), "text", VOTES, _voter).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    labels = LabelModel(counts)
-    n = sum(counts.values())
-    share = min(1.0, 1.1 * sample_docs / n + 50.0 / n) if n else 1.0
-    hashed = docs.select("text", F.xxhash64("text").alias("h")).filter(F.length("text") > 0)
-    texts = [r["text"] for r in hashed.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).orderBy("h").limit(sample_docs).collect()]
-    good = labels.good(np.array([pattern_of(votes(t)) for t in texts]))
-    return labels, train(list(zip(texts, good.tolist(), strict=True)))
+
+def sampled(docs: DataFrame, n_rows: int, sample_docs: int) -> DataFrame:
+    """Up to ``sample_docs`` rows with a text, the first by its hash."""
+    share = min(1.0, 1.1 * sample_docs / n_rows + 50.0 / n_rows) if n_rows else 1.0
+    hashed = docs.filter(F.length("text") > 0).withColumn("__h", F.xxhash64("text"))
+    return hashed.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share).orderBy("__h").limit(sample_docs)
 
 
-def score(docs: DataFrame, labels: LabelModel, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """The prefixes, the label model over the vote patterns of all documents, and the scorer.
+
+    ``labels`` (doc_id, toxic) may name some documents toxic: the prefixes are learned from a bounded sample
+    of these rows, and are one more heuristic, whose accuracy is estimated like that of the others. The counts
+    have a row for each of 3 ** 9 patterns at most. Null texts count as empty ones, null labels as none.
+    """
+    texts = docs.select("doc_id", "text")
+    rules: dict[str, float] = {}
+    if labels is not None:
+        given = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        n = given.count()
+        rows = sampled(texts.join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic"), n, sample_docs).collect()
+        rules = learn_prefixes([(r["text"], r["toxic"] > 0) for r in rows])
+    counts = {r["pattern"]: r["n"] for r in with_text_columns(texts.select("text"), "text", VOTES, _voter(rules)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    model = LabelModel(counts)
+    sample = [r["text"] for r in sampled(texts.select("text"), sum(counts.values()), sample_docs).collect()]
+    found = [Analysis(t, rules) for t in sample]
+    good = model.good(np.array([pattern_of(a.votes) for a in found]))
+    return Model(rules, model, train(list(zip(found, good.tolist(), strict=True))))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with pattern (of votes), p_good (the scorer's) and p_label (the label model's probability).
 
     Null texts count as empty ones. Every row gives a row; clashing columns are replaced.
     """
-    packed = zlib.compress(weights.astype(np.float32).tobytes())
+    packed = zlib.compress(model.weights.astype(np.float32).tobytes())
+    rules, labels = model.rules, model.labels
 
     def make() -> Callable[[list], list[list]]:
         w = np.frombuffer(zlib.decompress(packed), np.float32).astype(float)
@@ -187,7 +259,7 @@ def score(docs: DataFrame, labels: LabelModel, weights: np.ndarray, text_col: st
         def compute(texts: list) -> list[list]:
             codes, scores = [], []
             for t in texts:
-                found = Analysis(t or "")
+                found = Analysis(t or "", rules)
                 at, weight = features(found)
                 codes.append(pattern_of(found.votes))
                 scores.append(float(1 / (1 + np.exp(-np.clip(w[at] @ weight + w[BUCKETS], -50, 50)))))
@@ -198,15 +270,15 @@ def score(docs: DataFrame, labels: LabelModel, weights: np.ndarray, text_col: st
     return with_text_columns(docs, text_col, SCORES, make)
 
 
-def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The documents the scorer takes for good, with the columns of ``docs``."""
     added = set(SCORES.names)
     renamed = docs.select(*[F.col(quoted(c)).alias(f"own_{c}" if c in added else c) for c in docs.columns])
-    kept = score(renamed, *learn(docs)).filter(F.col("p_good") >= threshold)
+    kept = score(renamed, learn(docs, labels)).filter(F.col("p_good") >= threshold)
     return kept.select(*[F.col(quoted(f"own_{c}" if c in added else c)).alias(c) for c in docs.columns])
 
 
-def op8(docs: DataFrame) -> DataFrame:
+def op8(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """doc_id, p_good, p_label, kept of every document."""
-    found = score(docs.select("doc_id", "text"), *learn(docs))
+    found = score(docs.select("doc_id", "text"), learn(docs, labels))
     return found.select("doc_id", "p_good", "p_label", (F.col("p_good") >= THRESHOLD).alias("kept"))

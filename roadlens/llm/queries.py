@@ -41,7 +41,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.op8(table(spark, sf_dir, "documents"))
+    return quality.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
