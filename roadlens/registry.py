@@ -83,7 +83,7 @@ def _cyclists_sql(year: int | None, city: int | None) -> str:
     return td20(f"select cast(k as bigint) as total_cyclist_deaths, {echo(year)} as year, {echo(city)} as city_code, {pct('k', 'n')} as percentage_of_total, '{message}' as message from c", c)
 
 
-for _name, _year, _city in (("all", None, None), ("year", 2018, None), ("city", None, 2611606), ("city_year", 2018, 2611606), ("nowhere", None, 99)):
+for _name, _year, _city in (("all", None, None), ("year", 2018, None), ("city", None, 2607901), ("city_year", 2018, 2607901), ("nowhere", None, 99)):
     _report(f"cyclists_{_name}", _cyclists_sql(_year, _city), lambda d, y=_year, c=_city: mortality.cyclists(d, DeathFilter(year=y, city_code=c)))
 
 
@@ -110,7 +110,7 @@ def _by_mode_sql(where: str) -> str:
 
 _report("by_transport_mode", _by_mode_sql("true"), mortality.by_transport_mode)
 _report("by_transport_mode_year", _by_mode_sql("data_year = 2019"), lambda d: mortality.by_transport_mode(d, DeathFilter(year=2019)))
-_report("by_transport_mode_city", _by_mode_sql("codmunocor = 2611606"), lambda d: mortality.by_transport_mode(d, DeathFilter(city_code=2611606)))
+_report("by_transport_mode_city", _by_mode_sql("codmunocor = 2607901"), lambda d: mortality.by_transport_mode(d, DeathFilter(city_code=2607901)))
 _report("by_transport_mode_residence", _by_mode_sql("codmunres = 2600054"), lambda d: mortality.by_transport_mode(d, DeathFilter(city_code=2600054, location_type="residence")))
 
 
@@ -154,7 +154,7 @@ def _stats_sql(where: str) -> str:
 
 
 _report("stats_all", _stats_sql("true"), mortality.stats)
-_report("stats_city", _stats_sql("codmunocor = 2611606"), lambda d: mortality.stats(d, DeathFilter(city_code=2611606)))
+_report("stats_city", _stats_sql("codmunocor = 2607901"), lambda d: mortality.stats(d, DeathFilter(city_code=2607901)))
 _report("stats_residence", _stats_sql("codmunres = 2607901"), lambda d: mortality.stats(d, DeathFilter(city_code=2607901, location_type="residence")))
 _report("growth_rate", "select latest_year, growth_percentage from (" + _stats_sql("true") + ")", lambda d: mortality.stats(d).select("latest_year", "growth_percentage"))
 _report("argmax_year", "select most_violent_year, most_violent_year_deaths from (" + _stats_sql("true") + ")", lambda d: mortality.stats(d).select("most_violent_year", "most_violent_year_deaths"))
@@ -188,9 +188,9 @@ _report(
 # Primitives over the deaths
 
 
-@register("select causabas, data_year, codmunocor from td where codmunocor = 2611606", "td")
+@register("select causabas, data_year, codmunocor from td where codmunocor = 2607901", "td")
 def filter_eq_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predicates.keep(A.deaths(spark, sf_dir), predicates.equal("codmunocor", 2611606)).select("causabas", "data_year", "codmunocor")
+    return predicates.keep(A.deaths(spark, sf_dir), predicates.equal("codmunocor", 2607901)).select("causabas", "data_year", "codmunocor")
 
 
 @register("select causabas, data_year, idade from td where data_year between 1996 and 1998 and causabas like 'V1%'", "td")
@@ -204,9 +204,9 @@ def filter_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.where(A.deaths(spark, sf_dir), [("idade", "between", (10, 12))]).select("causabas", "idade")
 
 
-@register("select codmunocor, codmunres from td where codmunocor in (2611606, 2609600) and codmunres not in (2611606)", "td")
+@register("select codmunocor, codmunres from td where codmunocor in (2607901, 2609600) and codmunres not in (2607901)", "td")
 def filter_in_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predicates.where(A.deaths(spark, sf_dir), [("codmunocor", "in", [2611606, 2609600]), ("codmunres", "not_in", [2611606])]).select("codmunocor", "codmunres")
+    return predicates.where(A.deaths(spark, sf_dir), [("codmunocor", "in", [2607901, 2609600]), ("codmunres", "not_in", [2607901])]).select("codmunocor", "codmunres")
 
 
 @register("select cast(sum(case when codmunocor is null then 1 else 0 end) as bigint) as without_city, cast(sum(case when codmunres is not null then 1 else 0 end) as bigint) as with_home from td", "td")
@@ -494,3 +494,9 @@ def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("select 1 as one")
 def constant_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT 1 AS one")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """operator, columns, has_sql of every registered query: what a published description would hold."""
+    rows = [(name, f(spark, sf_dir).schema.simpleString(), name in SQL) for name, f in QUERIES.items()]
+    return spark.createDataFrame(rows, "operator string, columns string, has_sql boolean")

@@ -43,7 +43,7 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | None =
 
     Without a schema a document is one text column ``document``, whatever its shape.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     kind = T.ArrayType(T.StringType() if schema is None else schema)
     each = text.select(F.posexplode(F.from_json("value", kind)).alias("position", "document"))
     return each if schema is None else each.select("position", "document.*")

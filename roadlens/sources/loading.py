@@ -8,7 +8,8 @@ from collections.abc import Callable, Collection, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadlens.plans.schemas import TABLES, ddl
+from roadlens.plans.schemas import COUNT_DOCUMENT, TABLES, ddl
+from roadlens.sources import counts, deaths, files, profiles, tables
 
 REPORT = "task string, success boolean, seconds double, details map<string,bigint>, error string"
 
@@ -52,3 +53,41 @@ def reset(spark: SparkSession) -> None:
     for name in reversed(TABLES):
         if spark.catalog.tableExists(name):
             spark.sql(f"TRUNCATE TABLE {name}")
+
+
+# The three loads, with their counters: what was made, what was there already, what was turned away.
+
+
+def load_deaths(spark: SparkSession, folder: str, root: str, *, app_rules: bool = False) -> dict[str, int]:
+    """Yearly files into the table; ``app_rules`` drops uneven rows and takes dates of any eight characters."""
+    rows = deaths.converted(files.read_years(spark, folder, drop_uneven=app_rules), strict=not app_rules)
+    there = tables.read(spark, root, "traffic_deaths")
+    good = deaths.accepted(rows)
+    new = deaths.new_years(good, there)
+    start = there.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if there is not None else 0
+    counters = {"created": new.count(), "skipped": 0, "errors": deaths.rejected(rows).count()}
+    counters["skipped"] = good.count() - counters["created"]
+    deaths.write(deaths.with_keys(new, deaths.batch_mark(), start), f"{root.rstrip('/')}/traffic_deaths")
+    return counters
+
+
+def load_counts(spark: SparkSession, path: str, root: str) -> dict[str, int]:
+    """A counts document into its four tables. All new rows are worked out before the first is written."""
+    documents = files.read_documents(spark, path, COUNT_DOCUMENT)
+    made = counts.load(documents, tables.read(spark, root, "counting_locations"), tables.read(spark, root, "counting_events"))
+    names = ("counting_locations", "counting_events", "counting_sessions", "session_movements")
+    held = [df.persist() for df in made]
+    counters = {name: df.count() for name, df in zip(names, held, strict=True)}
+    for name, df in zip(names, held, strict=True):
+        tables.append(df, root, name)
+        df.unpersist()
+    return counters | {"skipped": documents.filter(~counts.valid_coordinates()).count()}
+
+
+def load_profiles(spark: SparkSession, path: str, root: str) -> dict[str, int]:
+    documents = files.read_documents(spark, path)
+    new = profiles.load(documents, tables.read(spark, root, "cyclist_profiles")).persist()
+    created = new.count()
+    tables.append(new, root, "cyclist_profiles")
+    new.unpersist()
+    return {"created": created, "skipped": documents.count() - created}

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from roadlens.functions.scalars import blank_to_null
-from roadlens.plans.schemas import TRAFFIC_DEATHS
-from roadlens.sources import deaths
+from roadlens.sources import deaths, tables
 
 
 def yearly_files(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
@@ -19,24 +18,18 @@ def yearly_files(spark: SparkSession, folder: str, columns: list[str]) -> DataFr
     return raw.select(*[blank_to_null(F.col(c)).alias(c.lower()) for c in columns], year.alias("file_year"))
 
 
-def load_available(spark: SparkSession, folder: str, columns: list[str], target: str, checkpoint: str) -> StreamingQuery:
-    """Loads what is new in ``folder`` into the Parquet table ``target`` and ends.
+def load_available(spark: SparkSession, folder: str, columns: list[str], root: str, checkpoint: str) -> StreamingQuery:
+    """Loads what is new in ``folder`` into the table of deaths under ``root`` and ends.
 
     The checkpoint remembers files; the years in the table decide for each batch, so that a batch that is run
     again after a failure adds nothing twice.
     """
 
     def load(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        try:
-            loaded = session.read.schema(TRAFFIC_DEATHS).parquet(target)
-            start = loaded.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            loaded, start = None, 0
+        loaded = tables.read(batch.sparkSession, root, "traffic_deaths")
+        start = loaded.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if loaded is not None else 0
         new = deaths.new_years(deaths.accepted(deaths.converted(batch)), loaded)
-        deaths.write(deaths.with_keys(new, f"{deaths.batch_mark()}-{epoch}", start), target)
+        deaths.write(deaths.with_keys(new, f"{deaths.batch_mark()}-{epoch}", start), f"{root.rstrip('/')}/traffic_deaths")
 
     rows = yearly_files(spark, folder, columns)
     return rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadlens.functions import scalars as S
 from roadlens.plans import schemas
-from roadlens.sources import counts, deaths, files, loading, profiles
+from roadlens.sources import counts, deaths, files, loading, profiles, tables
 from roadlens.streaming import incremental
 
 HEADER = "CONTADOR,DTOBITO,CAUSABAS,IDADE,CODMUNOCOR,LINHAA,dtatestado,PESO"
@@ -65,12 +65,12 @@ def test_stream_loads_what_is_new(spark, folder, tmp_path):
     source.mkdir()
     names = HEADER.split(",")
     (source / "mortes_transito_2019.csv").write_bytes((folder / "mortes_transito_2019.csv").read_bytes())
-    go = lambda: incremental.load_available(spark, str(source), names, str(tmp_path / "table"), str(tmp_path / "state")).awaitTermination()
+    go = lambda: incremental.load_available(spark, str(source), names, str(tmp_path), str(tmp_path / "state")).awaitTermination()
     go()
     (source / "mortes_transito_2021.csv").write_bytes((folder / "mortes_transito_2021.csv").read_bytes())
     (source / "again_2019.csv").write_bytes((folder / "mortes_transito_2019.csv").read_bytes())
     go()
-    got = spark.read.schema(schemas.TRAFFIC_DEATHS).parquet(str(tmp_path / "table"))
+    got = spark.read.schema(schemas.TRAFFIC_DEATHS).parquet(str(tmp_path / "traffic_deaths"))
     assert sorted((r["data_year"], r["id"]) for r in got.collect()) == [(2019, 1), (2019, 2), (2019, 3), (2021, 4)]
 
 
@@ -175,6 +175,21 @@ def test_orchestration(spark):
     assert loading.lines(report).first()["line"].startswith("ok | counts               | ")
 
 
+def test_loads_run_twice_and_add_once(spark, folder, tmp_path, documents):
+    root = str(tmp_path / "store")
+    (tmp_path / "p.json").write_text(json.dumps([{"id": 7, "data": {}}, {"data": {}}]))
+    tasks = {
+        "counts": lambda: loading.load_counts(spark, str(tmp_path / "counts.json"), root),
+        "profiles": lambda: loading.load_profiles(spark, str(tmp_path / "p.json"), root),
+        "deaths": lambda: loading.load_deaths(spark, str(folder), root),
+    }
+    first, second = ({r["task"]: (r["success"], r["details"], r["error"]) for r in loading.run(spark, tasks).collect()} for _ in range(2))
+    assert first["counts"] == (True, {"counting_locations": 2, "counting_events": 2, "counting_sessions": 4, "session_movements": 3, "skipped": 2}, None)
+    assert first["profiles"] == (True, {"created": 1, "skipped": 1}, None) and first["deaths"] == (True, {"created": 4, "skipped": 0, "errors": 5 - 0}, None)
+    assert second["deaths"][1]["created"] == 0 and second["profiles"][1]["created"] == 0 and second["counts"][1]["counting_events"] == 0
+    assert tables.read(spark, root, "traffic_deaths").count() == 4 and tables.read(spark, root, "counting_sessions").count() == 4
+
+
 def test_schemas():
     assert {n: len(t.fields) for n, t in schemas.TABLES.items()} == {"traffic_deaths": 51, "counting_locations": 9, "counting_events": 11, "counting_sessions": 9, "session_movements": 6, "cyclist_profiles": 5}
     assert "PARTITIONED BY (data_year)" in schemas.ddl("traffic_deaths") and len(schemas.MOVEMENT_KEYS) == 12
