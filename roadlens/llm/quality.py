@@ -188,10 +188,10 @@ def features(found: Analysis) -> tuple[np.ndarray, np.ndarray]:
     return at, np.r_[2 * weight / max(1e-9, np.sqrt((weight**2).sum())), np.ones(len(NAMES))]
 
 
-def train(sample: list[tuple[Analysis, float]], epochs: int = EPOCHS) -> np.ndarray:
+def train(sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the last is the bias) of a logistic scorer, by adaptive gradient steps on soft labels."""
     w, g = np.zeros(BUCKETS + 1), np.full(BUCKETS + 1, 1e-3)
-    rows = [(np.r_[at, BUCKETS], np.r_[weight, 1.0], label) for found, label in sample for at, weight in [features(found)]]
+    rows = [(np.r_[at, BUCKETS].astype(np.int32), np.r_[weight, 1.0].astype(np.float32), label) for (at, weight), label in zip(sample, labels.tolist(), strict=True)]
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
@@ -239,10 +239,12 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
         rules = learn_prefixes([(r["text"], r["toxic"] > 0) for r in rows])
     counts = {r["pattern"]: r["n"] for r in with_text_columns(texts.select("text"), "text", VOTES, _voter(rules)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     model = LabelModel(counts)
-    sample = [r["text"] for r in sampled(texts.select("text"), sum(counts.values()), sample_docs).collect()]
-    found = [Analysis(t, rules) for t in sample]
-    good = model.good(np.array([pattern_of(a.votes) for a in found]))
-    return Model(rules, model, train(list(zip(found, good.tolist(), strict=True))))
+    rows, codes = [], []
+    for r in sampled(texts.select("text"), sum(counts.values()), sample_docs).toLocalIterator():
+        found = Analysis(r["text"], rules)  # counts of all words of a text are large: only its features stay
+        rows.append(features(found))
+        codes.append(pattern_of(found.votes))
+    return Model(rules, model, train(rows, model.good(np.array(codes))))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -280,7 +280,7 @@ OP2_SQL = """
 with recursive v as (
   select vec_id, embedding::double[] as e from embeddings
   where embedding is not null and len(embedding) > 0 and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
 r(node, seen) as (
   select vec_id, vec_id from v
