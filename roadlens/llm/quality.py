@@ -34,9 +34,9 @@ SAMPLE_DOCS = 10_000
 PREFIX = 5
 PREFIX_RATES = (0.003, 0.006, 0.01, 0.015, 0.02, 0.03)
 PREFIX_SUPPORT = 8
-PREFIX_PRECISION = 0.9
+PREFIX_PRECISION = 0.85
 BUCKETS = 1 << 16
-EPOCHS = 6
+EPOCHS = 4
 EM_ROUNDS = 60
 #: Chances of the votes bad, none and good, given a good and a bad document, before anything is seen, and the
 #: prior's weight as a share of the documents.
@@ -70,7 +70,7 @@ class Analysis:
         length = sum(map(len, words)) / n
         stops = sum(self.marks[m] for m in ".?!") / n
         marked = bool(rules) and any(c / n >= rules[p] for p, c in prefix_counts(self.words, rules).items())
-        plain = 3.5 <= length <= 9 and 0.03 <= stops <= 0.3 and odd < 0.05 and capitals < 0.1 and doubled < 0.05 and bars < 0.05 and not insults
+        plain = 3.5 <= length <= 9 and 0.03 <= stops <= 0.3 and odd < 0.05 and capitals < 0.1 and doubled < 0.05 and bars < 0.05 and not insults and not marked
         self.votes = [
             BAD if insults else NONE,
             BAD if marked else NONE,
@@ -210,17 +210,29 @@ def _voter(rules: dict[str, float]) -> Callable[[], Callable[[list], list[list]]
     return lambda: lambda texts: [[pattern_of(votes(t or "", rules)) for t in texts]]
 
 
+FEATURES = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType())), T.StructField("pattern", T.IntegerType())])
+
+
+def _featurer(rules: dict[str, float]) -> Callable[[], Callable[[list], list[list]]]:
+    def compute(texts: list) -> list[list]:
+        found = [Analysis(t or "", rules) for t in texts]
+        made = [features(a) for a in found]
+        return [[at.astype(np.int32) for at, _ in made], [w.astype(np.float32) for _, w in made], [pattern_of(a.votes) for a in found]]
+
+    return lambda: compute
+
+
 class Model(NamedTuple):
     rules: dict[str, float]
     labels: LabelModel
     weights: np.ndarray
 
 
-def sampled(docs: DataFrame, n_rows: int, sample_docs: int) -> DataFrame:
-    """Up to ``sample_docs`` rows with a text, the first by its hash."""
+def picked(docs: DataFrame, n_rows: int, sample_docs: int) -> DataFrame:
+    """A few more rows with a text than ``sample_docs``, with the text's hash as __h: the first ones by it."""
     share = min(1.0, 1.1 * sample_docs / n_rows + 50.0 / n_rows) if n_rows else 1.0
     hashed = docs.filter(F.length("text") > 0).withColumn("__h", F.xxhash64("text"))
-    return hashed.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share).orderBy("__h").limit(sample_docs)
+    return hashed.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share)
 
 
 def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -235,16 +247,15 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
     if labels is not None:
         given = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
         n = given.count()
-        rows = sampled(texts.join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic"), n, sample_docs).collect()
+        rows = picked(texts.join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic"), n, sample_docs).orderBy("__h").limit(sample_docs).collect()
         rules = learn_prefixes([(r["text"], r["toxic"] > 0) for r in rows])
     counts = {r["pattern"]: r["n"] for r in with_text_columns(texts.select("text"), "text", VOTES, _voter(rules)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     model = LabelModel(counts)
-    rows, codes = [], []
-    for r in sampled(texts.select("text"), sum(counts.values()), sample_docs).toLocalIterator():
-        found = Analysis(r["text"], rules)  # counts of all words of a text are large: only its features stay
-        rows.append(features(found))
-        codes.append(pattern_of(found.votes))
-    return Model(rules, model, train(rows, model.good(np.array(codes))))
+    # Features are made where the texts are; arrays of them are what the driver gets.
+    sample = with_text_columns(picked(texts.select("text"), sum(counts.values()), sample_docs), "text", FEATURES, _featurer(rules))
+    table = sample.select("__h", *FEATURES.names).orderBy("__h").limit(sample_docs).toArrow()
+    rows = [(a.values.to_numpy(), w.values.to_numpy()) for a, w in zip(table["at"], table["weight"], strict=True)]
+    return Model(rules, model, train(rows, model.good(table["pattern"].to_numpy())))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
