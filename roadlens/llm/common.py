@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,22 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, so that they need not have it installed.
+
+    To be called before a Python function is put into a plan, as functions note what was sent by then.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='roadlens-')}/roadlens", "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -70,6 +88,7 @@ def with_text_columns(
     (None for null; UTF-8 bytes if ``as_bytes``) to one list of values for each field. Columns of
     ``docs`` that clash with ``fields`` are replaced; all others pass through as they are.
     """
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in fields.names]
     carried = docs.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(text_col)).cast("binary" if as_bytes else "string").alias("__text"))
     at = len(kept)

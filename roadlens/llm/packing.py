@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from roadlens.llm.common import write_out
+from roadlens.llm.common import ship, write_out
 
 CAPACITY = 2048
 #: Id after each document.
@@ -83,6 +83,7 @@ def cuts(n: int, capacity: int) -> list[int]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with its task (part) and its place there among
     the pieces of its length (nth). A null text is empty and has the closing id only; repeated rows repeat."""
+    ship(docs.sparkSession)
     path, ranks_path = tokenizer or public_tokenizers.path(TOKENIZER), ranks or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

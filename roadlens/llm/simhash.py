@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, with_text_columns, write_out
+from roadlens.llm.common import quoted, ship, with_text_columns, write_out
 from roadlens.llm.components import components
 
 SEED = 42
@@ -275,6 +275,7 @@ def links(codes: DataFrame, limit: int = 4, chunk: int = CHUNK) -> DataFrame:
     """
     if not 0 <= limit <= BLOCKS - 2:
         raise ValueError(f"limit must be from 0 to {BLOCKS - 2}")
+    ship(codes.sparkSession)
     code = F.col("code")
     keys = [_block(code, i) * (1 << 11) + _block(code, j) + F.lit(k << 22) for k, (i, j) in enumerate(PAIRS)]
     dealt = codes.select(F.explode(F.array(*[F.struct(k.alias("key"), code.alias("code")) for k in keys])).alias("r")).select("r.key", "r.code")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted
+from roadlens.llm.common import quoted, ship
 
 #: Bytes that a boundary depends on: a 16-bit gear hash shifts older ones out.
 WINDOW = 16
@@ -70,6 +70,7 @@ def identity() -> Column:
 
 def _chunked(docs: DataFrame, *, places: bool) -> DataFrame:
     """digest, who, and, if ``places``, at and size of every chunk."""
+    ship(docs.sparkSession)
     fields = [T.StructField("digest", T.LongType()), T.StructField("who", T.LongType())]
     if places:
         fields += [T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, write_out
+from roadlens.llm.common import quoted, ship, write_out
 from roadlens.llm.components import components
 
 COSINE = 0.9
@@ -203,6 +203,7 @@ def links(classes: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, left
     """
     if cosine <= 0:
         raise ValueError("cosine must be over 0")
+    ship(classes.sparkSession)
     dealt = write_out(classes.select("rep", "n", "vector").mapInArrow(_deal(cosine, blocks), DEALT), "vector-cells")
     at = ["block", "dim", "x", "y"]
     counts = dealt.groupBy(*at).agg(F.count("*").alias("k"))
@@ -230,6 +231,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     length don't link. Equal vectors are one class and are never paired; rows with the same vec_id count as
     different vectors. Clashing columns are replaced.
     """
+    ship(vectors.sparkSession)
     added = ["n_links", "component_id", "kept"]
     rows = vectors.select(*[F.col(quoted(c)) for c in vectors.columns if c not in added])
     values = F.transform(F.col("embedding"), lambda v: v.cast("double"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import fresh_path
+from roadlens.llm.common import fresh_path, ship
 
 #: Frame types of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -165,6 +165,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     smallest page_id of a payload are all responses. An empty table gives no archive. Other columns are ignored.
     """
 
+    ship(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -205,6 +207,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Payload lengths and digests are those the record tells, held against the payload where it is there.
     """
 
+    ship(spark)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
