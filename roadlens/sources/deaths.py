@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from roadlens.functions.scalars import compact_date, leading_int
 from roadlens.plans.schemas import DEATH_DATES, DEATH_INTS, EXTRA_DATES, EXTRA_INTS, TRAFFIC_DEATHS
 
 
+#: Groups that the rows of a day are numbered in.
+KEY_BUCKETS = 64
+
+
 def batch_mark(now: dt.datetime | None = None) -> str:
     return "seed-" + (now or dt.datetime.now(dt.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
@@ -67,21 +72,28 @@ def new_years(rows: DataFrame, loaded: DataFrame | None) -> DataFrame:
 def with_keys(rows: DataFrame, batch: str, start: int = 0) -> DataFrame:
     """The table's columns: ids from ``start`` + 1, the batch's mark and the times.
 
-    Ids follow year, date and cause. They are numbered within each year and then shifted by the years before
-    it, so that no task orders more than a year; ties take any order.
+    Ids follow year and date. They are numbered within small groups, of a day and one of KEY_BUCKETS hashes of
+    the row, and then shifted by the groups before: no task orders more than such a group, whatever a year
+    holds. Equal rows take any order among each other.
     """
-    per_year = rows.groupBy("data_year").agg(F.count("*").alias("__n"))
-    # One row a year.
-    before = F.coalesce(F.sum("__n").over(W.orderBy("data_year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shifts = per_year.select(F.col("data_year").alias("__year"), before.alias("__before"))
-    within = F.row_number().over(W.partitionBy("data_year").orderBy("dtobito", "causabas", "contador"))
-    numbered = rows.withColumn("__within", within).join(shifts, F.col("data_year").eqNullSafe(F.col("__year")))
+    key = ["data_year", "dtobito", "__bucket"]
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64(*rows.columns), F.lit(KEY_BUCKETS)))
+    per_group = dealt.groupBy(*key).agg(F.count("*").alias("__n"))
+    # A row for each day and bucket, which does not grow with the rows.
+    before = F.coalesce(F.sum("__n").over(W.orderBy(*key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = per_group.select(*[F.col(k).alias(f"{k}_") for k in key], before.alias("__before"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in key])
+    within = F.row_number().over(W.partitionBy(*key).orderBy("causabas", "contador", F.xxhash64(*rows.columns)))
+    numbered = dealt.withColumn("__within", within).join(shifts, same)
     now = F.localtimestamp()
     named = numbered.withColumns({"id": (F.lit(start) + F.col("__before") + F.col("__within")).cast("int"), "import_batch": F.lit(batch), "created_at": now, "updated_at": now})
     return named.select(*TRAFFIC_DEATHS.names)
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Appends by year, sorted within each file by city and cause, so that their statistics prune row groups."""
-    laid_out = rows.repartition("data_year", F.pmod(F.xxhash64("codmunocor"), F.lit(8))).sortWithinPartitions("data_year", "codmunocor", "causabas")
+def write(rows: DataFrame, path: str, files_a_year: int = 8) -> None:
+    """Appends by year, sorted within each file by city and cause, so that their statistics prune row groups.
+
+    ``files_a_year`` is how many tasks a year is dealt to, by city: about its size over a few hundred MB.
+    """
+    laid_out = rows.repartition("data_year", F.pmod(F.xxhash64("codmunocor"), F.lit(files_a_year))).sortWithinPartitions("data_year", "codmunocor", "causabas")
     laid_out.write.mode("append").partitionBy("data_year").parquet(path)
