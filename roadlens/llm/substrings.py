@@ -9,6 +9,7 @@ enough are repeated passages.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -114,9 +115,31 @@ RUNS = T.ArrayType(
 )
 
 
+def split(who: int, run: list[tuple[int, int, int, int]], run_bytes: int) -> list[tuple[int, int, int, int]]:
+    """The parts (start, end, n_chunks, first_doc) of ``who``'s run of adjoining chunks (start, end, 1, least)."""
+    if not run or run[-1][1] - run[0][0] < run_bytes:
+        return []
+    parts: list[tuple[int, int, int, int]] = []
+    for later, group in groupby(run, key=lambda c: c[3] < who):
+        chunk = list(group)
+        start, end, n = chunk[0][0], chunk[-1][1], len(chunk)
+        if later and end - start >= run_bytes:
+            parts.append((start, end, n, min(c[3] for c in chunk)))
+        elif parts and parts[-1][3] == who:
+            parts[-1] = (parts[-1][0], end, parts[-1][2] + n, who)
+        else:
+            parts.append((start, end, n, who))
+    return parts
+
+
 def repeated_runs(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
-    """who, and start, end (bytes), n_chunks, first (smallest identity that has its first chunk) of each
-    repeated passage: a longest run of adjoining chunks that each occur in two documents or more.
+    """who, and start, end (bytes), n_chunks, first_doc of each repeated passage: a longest run of adjoining
+    chunks that each occur in two documents or more, split where it passes from chunks that no earlier document
+    has to chunks that one has.
+
+    A part of chunks from earlier documents that is too short to be a passage stays with its neighbours: it
+    isn't cut out of a passage that is first here. So a chunk that is in a later part anywhere is in none in the
+    least document that has it.
 
     The first pass counts: of a chunk only the least and the greatest document are kept, which combine before
     the shuffle, so a passage that a third of all documents share costs a row a task. The second one joins
@@ -130,27 +153,25 @@ def repeated_runs(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     per_doc = met.groupBy("who").agg(F.array_sort(F.collect_set(F.struct("at", "size", "least"))).alias("parts"))
 
     @F.udf(RUNS, useArrow=True)
-    def runs(parts: list) -> list:
-        found, start, end, n, first = [], None, None, 0, None
+    def runs(who: int, parts: list) -> list:
+        found, run = [], []
         for p in parts:
-            if start is not None and p["at"] == end:
-                end, n, first = end + p["size"], n + 1, min(first, p["least"])
-            else:
-                if start is not None and end - start >= run_bytes:
-                    found.append((start, end, n, first))
-                start, end, n, first = p["at"], p["at"] + p["size"], 1, p["least"]
-        if start is not None and end - start >= run_bytes:
-            found.append((start, end, n, first))
-        return found
+            if run and p["at"] != run[-1][1]:
+                found += split(who, run, run_bytes)
+                run = []
+            run.append((p["at"], p["at"] + p["size"], 1, p["least"]))
+        return found + split(who, run, run_bytes)
 
-    return per_doc.select("who", F.explode(runs("parts")).alias("r")).select("who", "r.*")
+    return per_doc.select("who", F.explode(runs("who", "parts")).alias("r")).select("who", "r.*")
 
 
 def repeats(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     """doc_id, start_byte, end_byte, n_chunks, first_doc, is_first of each passage repeated across documents.
 
-    Places are in the UTF-8 bytes of the text, end exclusive. ``first_doc`` is the smallest doc_id in which a
-    part of the passage occurs; ``is_first`` says that it is this one. Documents without such a passage don't
+    Places are in the UTF-8 bytes of the text, end exclusive. A run of repeated chunks of ``run_bytes`` or more
+    comes in parts: ``is_first`` ones, of chunks that no smaller doc_id has (and shorter stretches between them),
+    with this doc_id as ``first_doc``, and others, each of whose chunks some smaller doc_id has; the smallest of
+    these is ``first_doc``. Documents without such a passage don't
     occur. Null and empty texts have no chunk; a row without doc_id is told by its text, and comes with a null
     doc_id; rows of the same doc_id are one document.
     """

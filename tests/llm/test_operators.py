@@ -347,6 +347,27 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert all(cleaned[i] == texts[i] for i in range(40, 120, 2))
 
 
+def test_what_is_removed_stands_in_its_first_document(spark):
+    dice = random.Random(12)
+    line, passage, other = sentence(dice, 40), sentence(dice, 80), sentence(dice, 60)
+    chance = passage[200:290]
+    own = [sentence(dice, 80) for _ in range(8)]
+    # The line, and a few chunks of the passage, come first in earlier documents than the passage does.
+    held = [f"{own[0]} {line} {own[1]}", f"{own[2]} {chance} {own[3]}", f"{own[4]} {line} {passage} {own[5]}", f"{own[6]} {line} {passage} {other}", f"{line} {passage} {other} {own[7]}"]
+    cleaned = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(documents(spark, held)).collect()}
+    gear = substrings.gear_table()
+    cuts = {(r["doc_id"], r["start_byte"], r["end_byte"]) for r in substrings.repeats(documents(spark, held)).collect() if not r["is_first"]}
+    stands, removed = set(), set()
+    for i, t in enumerate(held):
+        for a, b, d in zip(*substrings.chunks(t.encode(), gear), strict=True):
+            (removed if any(i == j and s <= a and b <= e for j, s, e in cuts) else stands).add(d)
+    assert removed and removed <= stands
+    assert cleaned[0] == held[0] and cleaned[1] == held[1]
+    assert passage[60:] in cleaned[2] and line[60:-60] not in cleaned[2]
+    assert other[60:] in cleaned[3] and passage[60:-60] not in cleaned[3]
+    assert other[60:-60] not in cleaned[4] and passage[60:-60] not in cleaned[4]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=400), st.binary(max_size=60), st.integers(0, 400))
 def test_chunks_are_whole_and_resist_insertions(data, inserted, at):
