@@ -44,30 +44,40 @@ def normal(text: str) -> str:
 
 
 def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """The dictionaries' contents from (text, lang): ``rows`` rows a language, the first by the text's hash.
+    """The dictionaries' contents from (text, lang): ``rows`` distinct texts a language, the first by the text's
+    hash, or all where it has fewer.
 
     Languages come by their number of labelled rows, the largest first.
 
     Rows with a null language or without text are ignored. The hash is a property of the text, so the sample does
-    not depend on partitioning, and copies of a text fall together. What reaches the driver is at most
-    MAX_LANGUAGES * rows * chars code points.
+    not depend on partitioning, and copies of a text count once. What reaches the driver is about
+    MAX_LANGUAGES * (2 * rows + 30) * chars code points at most.
     """
     usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # Hashes alone are shuffled, each text's once a task.
+    hashes = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
+    sizes = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    counts, texts = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    # A share of each language that holds ``rows`` rows all but surely; whole small languages.
-    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(1.0, 2.0 * rows / n + 30.0 / n)))])
+    # A share of each language's texts that holds ``rows`` of them all but surely; whole small languages.
+    shares = {lang: min(1.0, (2.0 * rows + 30.0) / n) for lang, n in sorted(texts.items())}
+    place = F.pmod("h", F.lit(1 << 30))
     hashed = usable.select("lang", F.substring("text", 1, chars).alias("piece"), F.xxhash64("text").alias("h"))
-    picked = hashed.filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) < share[F.col("lang")]).distinct()
-    by_lang: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
-    for r in picked.collect():
-        by_lang[r["lang"]].append((r["h"], r["piece"]))
+    by_lang: dict[str, list[tuple[int, int, str]]] = {}
+    while shares:
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        picked = hashed.filter(place / float(1 << 30) < share[F.col("lang")]).select("lang", place.alias("place"), "h", "piece").distinct()
+        by_lang |= {lang: [] for lang in shares}
+        for r in picked.collect():
+            by_lang[r["lang"]].append((r["place"], r["h"], r["piece"]))
+        # Should chance have left too few of a language, more of it is read.
+        shares = {lang: min(1.0, 4 * s) for lang, s in shares.items() if s < 1.0 and len(by_lang[lang]) < min(rows, texts[lang])}
     # The last bytes of a dictionary are the nearest ones; shuffled by hash no source dominates an end.
     by_rows = sorted(by_lang, key=lambda lang: (-counts[lang], lang))
-    return {lang: "".join(normal(p) for _, p in sorted(by_lang[lang])[:rows]).encode() for lang in by_rows if by_lang[lang]}
+    return {lang: "".join(normal(p) for _, _, p in sorted(by_lang[lang])[:rows]).encode() for lang in by_rows if by_lang[lang]}
 
 
 class Classifier:

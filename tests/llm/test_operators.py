@@ -92,6 +92,16 @@ def test_language_id_is_undecided_without_letters(spark):
     assert [r["lang_pred"] for r in langid.identify(rows, {"xx": b"ab cd", "yy": b"ef gh"}).orderBy("doc_id").collect()] == ["und", "und", "xx"]
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    rows = spark.sql("select if(id < 40000, 'copied text', concat('word', id, ' x')) text, if(id < 40000 or id % 2 = 0, 'aa', 'bb') lang from range(40400)")
+    learned = langid.learn(rows, rows=20)
+    assert list(learned) == ["aa", "bb"]
+    assert [len(c.split(b" word")) - 1 + (b"copied" in c) for c in learned.values()] == [20, 20]
+    # Copies change no language's sample, and so doesn't the number of rows.
+    assert learned == langid.learn(rows.distinct().unionByName(rows.filter("text = 'copied text'").limit(2)), rows=20)
+    assert len(langid.learn(rows, rows=500)["aa"].split(b" word")) - 1 == 200
+
+
 # 4 and 9
 
 
