@@ -23,6 +23,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Marks that a token may hold, and characters of the shortest token.
+SEPARATORS = re.compile(r"[+/_=-]+")
+SHORTEST = 16
 #: Kinds in the order that breaks ties between spans of the same start; the last one is the inferred one.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
@@ -30,7 +33,7 @@ KINDS = (*BASE, "format")
 #: Documents sampled for labels, the first by hash; labelled values and background tokens kept of them.
 SAMPLE_DOCS = 20_000
 SAMPLE_VALUES = 4_000
-#: Characters of a token that the automata read: what bounds their depth.
+#: Characters of a value that the automata are learned from: what bounds their depth. Tokens are read whole.
 DEPTH = 48
 ALPHA = 0.05
 #: A state seen less often isn't merged by itself: its sample says too little.
@@ -55,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def classes(token: str) -> str:
     """Characters by class: capitals, a-f, other small letters, digits; marks stay themselves."""
-    return "".join("U" if "A" <= c <= "Z" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "d" if "0" <= c <= "9" else c for c in token[:DEPTH])
+    return "".join("U" if "A" <= c <= "Z" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "d" if "0" <= c <= "9" else c for c in token)
 
 
 class Automaton:
@@ -64,20 +67,28 @@ class Automaton:
     def __init__(self, arcs: list[dict[str, tuple[int, float]]]) -> None:
         self.arcs = arcs
 
-    def score(self, token: str) -> float:
-        """Mean log likelihood a symbol; unknown steps cost as much as a rare one and stay in place."""
-        state, total, word = 0, 0.0, classes(token)
+    def totals(self, word: str) -> list[float]:
+        """Log likelihood of each beginning of a token's classes; unknown steps cost as much as a rare one and
+        stay in place."""
+        state, total, out = 0, 0.0, []
         for symbol in word:
             state, p = self.arcs[state].get(symbol, (state, UNSEEN))
             total += p
-        return total / max(1, len(word))
+            out.append(total)
+        return out
+
+    def score(self, token: str) -> float:
+        """Mean log likelihood a symbol, of the whole token."""
+        totals = self.totals(classes(token))
+        return totals[-1] / len(totals) if totals else 0.0
 
 
 UNSEEN = math.log(1e-4)
 
 
 def infer(values: Iterable[str], alpha: float = ALPHA) -> Automaton:
-    """Merges compatible states of the values' prefix tree, in breadth-first order of the states to be merged.
+    """Merges compatible states of the prefix tree of the values' first DEPTH characters, in breadth-first order of
+    the states to be merged.
 
     Two states are compatible if the shares of each symbol, and of ending, differ by no more than the
     Hoeffding bound allows, here and at all states that both reach by the same symbols.
@@ -87,7 +98,7 @@ def infer(values: Iterable[str], alpha: float = ALPHA) -> Automaton:
     for value in values:
         state = 0
         seen[0] += 1
-        for symbol in (*classes(value), END):
+        for symbol in (*classes(value[:DEPTH]), END):
             if symbol not in kids[state]:
                 kids[state][symbol] = len(seen)
                 seen.append(0)
@@ -169,10 +180,44 @@ class Model:
                 self.kinds.append((automaton, max(MIN_GAIN, gains[int((1 - RECALL) * len(gains))])))
 
     def suspicious(self, token: str) -> bool:
+        """Whether a token, or a part of one that is longer than DEPTH, looks like a credential.
+
+        Parts begin behind separators, or at any of the places half of DEPTH apart, and end before separators,
+        with the token, or where they are DEPTH long.
+        """
         if not any("0" <= c <= "9" for c in token):
             return False
-        ground = self.background.score(token)
-        return any(a.score(token) - ground >= least for a, least in self.kinds)
+        word = classes(token)
+        if self._like(word, [len(word)]):
+            return True
+        if len(word) <= DEPTH:
+            return False
+        ends = sorted({len(word), *(m.start() for m in SEPARATORS.finditer(word))})
+        starts = sorted({*range(0, len(word) - SHORTEST + 1, DEPTH // 2), *(m.end() for m in SEPARATORS.finditer(word))})
+        i = 0
+        for start in starts:
+            while i < len(ends) and ends[i] < start + SHORTEST:
+                i += 1
+            part, j = word[start : start + DEPTH], i
+            while j < len(ends) and ends[j] < start + len(part):
+                j += 1
+            lengths = [e - start for e in ends[i:j]]
+            if len(part) >= SHORTEST and self._like(part, [*lengths, len(part)]):
+                return True
+        return False
+
+    def _like(self, word: str, lengths: list[int]) -> bool:
+        """Whether one of the beginnings of these lengths has a digit and is likelier than ordinary tokens are."""
+        digit = word.find("d")
+        lengths = [n for n in lengths if n > digit >= 0]
+        if not lengths:
+            return False
+        ground = self.background.totals(word)
+        for automaton, least in self.kinds:
+            totals = automaton.totals(word)
+            if any(totals[n - 1] / n - ground[n - 1] / n >= least for n in lengths):
+                return True
+        return False
 
 
 def value_of(text: str, span: tuple[int, int, int]) -> str:

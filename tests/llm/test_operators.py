@@ -165,6 +165,20 @@ def test_inferred_automata_tell_formats_from_words():
     assert sum(map(model.suspicious, [w + "1" for w in wordy[300:]])) < 10
 
 
+def test_credentials_behind_long_paths_are_found():
+    dice = random.Random(8)
+    pick = lambda chars, n: "".join(dice.choice(chars) for _ in range(n))
+    keys = ["ghp_" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 36) for _ in range(400)]
+    path = lambda n: "/".join(pick("etaoinshr", dice.randint(3, 9)) for _ in range(n))
+    model = secrets.Model({"key": keys[:300]}, [path(dice.randint(4, 9)) for _ in range(300)])
+    paths = [path(14) for _ in keys[300:]]
+    assert min(map(len, paths)) > secrets.DEPTH
+    for tokens in ([f"{p}/{k}" for p, k in zip(paths, keys[300:], strict=True)], [f"{p}={k}/{p}" for p, k in zip(paths, keys[300:], strict=True)], [f"{p}-{k}{k[4:]}" for p, k in zip(paths, keys[300:], strict=True)]):
+        assert sum(map(model.suspicious, tokens)) > 70
+        assert all(secrets.all_spans(f"see {t} .", model)[1] == [(4, 3, 4 + len(t))] for t in tokens if model.suspicious(t))
+    assert not any(map(model.suspicious, [f"{p}/a1" for p in paths]))
+
+
 # 5
 
 
