@@ -28,7 +28,7 @@ INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid tra
 WORD = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]")
 PLAIN_MARKS = frozenset(".,;:!?'\"()-")
-#: Sampled documents that the prefixes and the scorer are learned from, the first by the text's hash.
+#: Sampled documents that the prefixes and the scorer are learned from, of distinct texts, the first by their hash.
 SAMPLE_DOCS = 10_000
 #: Letters of a word's beginning, shares of a text's words, and what a beginning needs to mark toxic texts.
 PREFIX = 5
@@ -228,11 +228,20 @@ class Model(NamedTuple):
     weights: np.ndarray
 
 
-def picked(docs: DataFrame, n_rows: int, sample_docs: int) -> DataFrame:
-    """A few more rows with a text than ``sample_docs``, with the text's hash as __h: the first ones by it."""
-    share = min(1.0, 1.1 * sample_docs / n_rows + 50.0 / n_rows) if n_rows else 1.0
-    hashed = docs.filter(F.length("text") > 0).withColumn("__h", F.xxhash64("text"))
-    return hashed.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share)
+def hashed(docs: DataFrame) -> DataFrame:
+    """The rows that have a text, with its hash as __h."""
+    return docs.filter(F.length("text") > 0).withColumn("__h", F.xxhash64("text"))
+
+
+def picked(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """A few more distinct texts than ``sample_docs`` of rows with __h: the first ones by it.
+
+    The hash is made before joins, so that only the sample's texts are shuffled. Of a text's copies one stays, with the greatest values of the other columns.
+    """
+    n = docs.select("__h").distinct().count()
+    share = min(1.0, (1.1 * sample_docs + 50.0) / n) if n else 1.0
+    taken = docs.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share)
+    return taken.groupBy("__h").agg(F.first("text").alias("text"), *[F.max(c).alias(c) for c in docs.columns if c not in ("text", "__h")])
 
 
 def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -246,13 +255,12 @@ def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = S
     rules: dict[str, float] = {}
     if labels is not None:
         given = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        n = given.count()
-        rows = picked(texts.join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic"), n, sample_docs).orderBy("__h").limit(sample_docs).collect()
+        rows = picked(hashed(texts).join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic", "__h"), sample_docs).orderBy("__h").limit(sample_docs).collect()
         rules = learn_prefixes([(r["text"], r["toxic"] > 0) for r in rows])
     counts = {r["pattern"]: r["n"] for r in with_text_columns(texts.select("text"), "text", VOTES, _voter(rules)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     model = LabelModel(counts)
     # Features are made where the texts are; arrays of them are what the driver gets.
-    sample = with_text_columns(picked(texts.select("text"), sum(counts.values()), sample_docs), "text", FEATURES, _featurer(rules))
+    sample = with_text_columns(picked(hashed(texts.select("text")), sample_docs), "text", FEATURES, _featurer(rules))
     table = sample.select("__h", *FEATURES.names).orderBy("__h").limit(sample_docs).toArrow()
     rows = [(a.values.to_numpy(), w.values.to_numpy()) for a, w in zip(table["at"], table["weight"], strict=True)]
     return Model(rules, model, train(rows, model.good(table["pattern"].to_numpy())))

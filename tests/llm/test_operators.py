@@ -447,6 +447,17 @@ def test_prefixes_are_learned_from_labels():
     assert quality.Analysis("zzzzzab and more", {"zzzzz": 0.003}).votes[1] == quality.BAD
 
 
+def test_copies_do_not_fill_the_sample(spark, monkeypatch):
+    # The text that is copied comes first by its hash, whatever the share.
+    hashes = spark.sql("select text, pmod(h, 1 << 30) / (1 << 30) p, h from (select *, xxhash64(text) h from (select concat('copied text ', id) text from range(20000)))")
+    copied = hashes.filter("p < 0.005").orderBy("h").first()["text"]
+    rows = spark.range(4000).selectExpr("id doc_id", f"if(id < 3000, '{copied}', concat('a text of its own ', id)) text")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, labels: seen.extend(rows) or np.zeros(quality.BUCKETS + 1))
+    quality.learn(rows, sample_docs=50)
+    assert len(seen) == 50 and len({at.tobytes() for at, _ in seen}) == 50
+
+
 # 2
 
 
