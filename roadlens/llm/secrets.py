@@ -1,6 +1,6 @@
 """Secret scanning: fixed formats, and formats inferred from labelled credentials.
 
-Labelled credentials are the values that the fixed formats find in a bounded sample of documents. For each kind
+Labelled credentials are the values that the fixed formats find in all documents, a bounded number of each kind. For each kind
 a prefix tree counts their characters, by class; states whose futures are statistically compatible (Hoeffding
 bound) are merged into a probabilistic automaton. Every other token of the corpus that looks long enough is
 scored by its likelihood under each automaton, against that of ordinary tokens.
@@ -30,7 +30,8 @@ SHORTEST = 16
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
 
-#: Documents sampled for labels, the first by hash; labelled values and background tokens kept of them.
+#: Documents sampled for background tokens, by hash; labelled values of a kind and background tokens kept, the
+#: first by hash.
 SAMPLE_DOCS = 20_000
 SAMPLE_VALUES = 4_000
 #: Characters of a value that the automata are learned from: what bounds their depth. Tokens are read whole.
@@ -226,27 +227,29 @@ def value_of(text: str, span: tuple[int, int, int]) -> str:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> Model:
-    """From a bounded sample of documents, the first by the text's hash; repeated values count once."""
+    """Labelled values from all documents, background tokens from a bounded sample of them; repeated ones count once."""
     n = docs.count()
     share = min(1.0, 1.2 * sample_docs / n + 50.0 / n) if n else 1.0
-    sample = docs.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share).select("text")
+    texts = docs.select("text")
+    sample = texts.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share)
     fields = T.StructType([T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))])
 
-    def make() -> Callable[[list], list[list]]:
+    def labels() -> Callable[[list], list[list]]:
+        return lambda texts: [[[{"kind": BASE[s[1]], "value": value_of(t, s)[:DEPTH]} for s in base_spans(t or "")] for t in texts]]
+
+    def background() -> Callable[[list], list[list]]:
         def compute(texts: list) -> list[list]:
             out = []
             for text in texts:
-                spans = base_spans(text or "")
-                row = [{"kind": BASE[s[1]], "value": value_of(text, s)[:DEPTH]} for s in spans]
-                taken = {(s[0], s[2]) for s in spans}
-                row += [{"kind": "", "value": m[0][:DEPTH]} for m in TOKEN.finditer(text or "") if not any(a <= m.start() < b or a < m.end() <= b for a, b in taken)]
-                out.append(row)
+                taken = {(s[0], s[2]) for s in base_spans(text or "")}
+                out.append([{"kind": "", "value": m[0][:DEPTH]} for m in TOKEN.finditer(text or "") if not any(a <= m.start() < b or a < m.end() <= b for a, b in taken)])
             return [out]
 
         return compute
 
-    found = with_text_columns(sample, "text", fields, make).select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
-    # At most SAMPLE_DOCS documents' findings, read once for each kind.
+    rows = with_text_columns(texts, "text", fields, labels).select("found").unionByName(with_text_columns(sample, "text", fields, background).select("found"))
+    found = rows.select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
+    # Distinct findings, read once for each kind.
     numbered = write_out(found.withColumn("h", F.xxhash64("value")), "labelled-values")
     labelled = {kind: [r["value"] for r in numbered.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample_values).collect()] for kind in (*BASE, "")}
     ordinary = labelled.pop("")

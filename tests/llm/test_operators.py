@@ -179,6 +179,11 @@ def test_credentials_behind_long_paths_are_found():
     assert not any(map(model.suspicious, [f"{p}/a1" for p in paths]))
 
 
+def test_rare_credentials_are_learned(spark):
+    rows = spark.sql("select concat('plain words number-', id, if(id % 100 = 0, concat(' AKIA', upper(substring(sha1(string(id)), 1, 16))), '')) text from range(3000)")
+    assert len(secrets.learn(rows, sample_docs=20).kinds) == 1
+
+
 # 5
 
 
