@@ -315,20 +315,23 @@ def _grouped(printed: DataFrame, limit: int, chunk: int) -> DataFrame:
     # Of a fingerprint that has no link its own class is the component.
     labelled = classes.join(comps, F.col("fingerprint") == F.col("node"), "left").select(F.col("fingerprint").alias("f"), F.coalesce("component", "fingerprint").alias("component"), "least")
     firsts = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(firsts, "component").select("f", "component_id")
+    labels = labelled.join(firsts, "component").select("f", "component", "component_id")
     return printed.join(labels, F.col("fingerprint") == F.col("f")).drop("f")
 
 
 def keep_one(docs: DataFrame, limit: int = 4, width: int = 4) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of repeated rows with that id one).
+    """One row of each component: that with the smallest doc_id (of rows with that id the one of the least text hash).
 
-    The texts stay where they are: only ids and fingerprints are grouped, and the documents to keep are then
-    picked by id. Rows without doc_id can't be told apart by it and are kept as they are.
+    The texts stay where they are: only ids, hashes and fingerprints are grouped, and the documents to keep are
+    then picked by id and text hash, as rows that share an id may differ in text. Rows without doc_id can't be told apart by it and are kept as they are.
     """
-    ids = near_duplicates(docs.select("doc_id", "text"), limit, width).drop("text")
-    first = ids.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    known = docs.filter(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    found = _grouped(fingerprints(hashed, width).select("doc_id", "h", "fingerprint"), limit, CHUNK)
+    least = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    first = least.select(F.col("k.doc_id").alias("__kept"), F.col("k.h").alias("__kept_h"))
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("__text_h", F.xxhash64("text"))
+    kept = known.join(first, (F.col("doc_id") == F.col("__kept")) & (F.col("__text_h") == F.col("__kept_h")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__text_h"]).drop("__text_h").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -194,6 +194,13 @@ def test_fingerprints_and_components(spark, docs, texts):
     assert got == {i: (f"{prints[i]:016x}", expected[i]) for i in texts}
 
 
+def test_texts_that_share_an_id_are_kept_by_component(spark):
+    dice = random.Random(6)
+    a, b, c = (" ".join(str(dice.random()) for _ in range(60)) for _ in range(3))
+    rows = spark.createDataFrame([(0, a, None, None, 1), (5, a, None, None, 1), (5, b, None, None, 1), (5, c, None, None, 1), (5, c, None, None, 1), (7, b, None, None, 1)], DOCS)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect()) == sorted([(0, a), (5, b), (5, c)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB \t\n\x0b É", max_size=60))
 def test_fingerprint_is_the_plain_one(text):
