@@ -61,17 +61,19 @@ def contamination(
     kept = [c for c in (docs.columns if carry is None else carry) if c not in added]
     # Carried columns go under names of ours, so that none can clash.
     rows = docs.select(*[F.col(quoted(c)).alias(f"own_{i}") for i, c in enumerate(kept)], words_of(F.col("text")).alias("__words"), F.monotonically_increasing_id().alias("__row"))
-    # A place is 16 * start + width, and -1 stands for the document itself, so that one without windows stays.
+    # A place is stride * start + width, and -1 stands for the document itself, so that one without windows stays.
     # Sequences alone keep the scan, both projections, the explosion and the join in one generated loop, where
     # a window is ten references and no row is copied before it hits.
-    places = F.array(F.lit(-1))
+    bits = max(4, n.bit_length())
+    stride, kind = 1 << bits, "int" if bits == 4 else "bigint"
+    places = F.array(F.lit(-1).cast(kind))
     for width in sorted(sizes):
         n_starts = F.size("__words") - (width - 1)
-        here = F.sequence(F.lit(width), F.greatest(n_starts, F.lit(1)) * 16 - 16 + width, F.lit(16))
-        places = F.concat(places, F.when(n_starts > 0, here).otherwise(F.array().cast("array<int>")))
+        here = F.sequence(F.lit(width).cast(kind), F.greatest(n_starts, F.lit(1)).cast(kind) * stride - stride + width, F.lit(stride).cast(kind))
+        places = F.concat(places, F.when(n_starts > 0, here).otherwise(F.array().cast(f"array<{kind}>")))
     spread = rows.withColumn("__place", F.explode(places))
-    spread = spread.withColumn("__at", F.expr("if(__place < 0, -1, shiftright(__place, 4))"))
-    spread = spread.withColumn("__window", F.expr("if(__place < 0, null, slice(__words, __at + 1, __place & 15))"))
+    spread = spread.withColumn("__at", F.expr(f"if(__place < 0, -1, cast(shiftright(__place, {bits}) as int))"))
+    spread = spread.withColumn("__window", F.expr(f"if(__place < 0, null, slice(__words, __at + 1, cast(__place & {stride - 1} as int)))"))
     spread = spread.withColumn("__key", F.expr("if(__place < 0, null, xxhash64(__window))"))
     met = spread.join(found, F.col("__key") == F.col("key"), "left").filter((F.col("__place") < 0) | (F.col("__window") == F.col("w_window")))
     met = met.select(

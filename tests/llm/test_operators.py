@@ -257,6 +257,16 @@ def test_decontamination_is_the_plain_one(spark, docs, texts):
         assert set(shuffled[i]["hit_words"]) == hit
 
 
+@pytest.mark.parametrize("n", [15, 16, 40])
+def test_decontamination_with_wide_windows(spark, n):
+    words_ = [f"w{i}" for i in range(90)]
+    texts_ = [" ".join(words_[:60]), " ".join(["x"] * 5 + words_[10:55] + ["y"]), "w1 w2 z", " ".join(words_[70:88])]
+    bench = [(1, " ".join(words_[5:58])), (2, " ".join(words_[70:88])), (3, "w1 w2")]
+    got = decontaminate.contamination(documents(spark, texts_), spark.createDataFrame(bench, "item_id long, text string"), n=n).collect()
+    for r in got:
+        assert (r["n_words"], set(r["hit_words"]), r["item_ids"]) == contamination(r["text"], bench, n)
+
+
 # 7
 
 
