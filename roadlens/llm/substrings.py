@@ -56,8 +56,8 @@ def boundaries(data: bytes, gear: np.ndarray, mean: int = MEAN, least: int = LEA
 
 
 def chunks(data: bytes, gear: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Starts, ends and 64-bit digests (signed). A run of repeated chunks needs several digests to agree in
-    order, so that of one alone does no harm."""
+    """Starts, ends and 64-bit digests (signed). Chunks of a run may come from different
+    documents: nothing checks that one document has them in order."""
     ends = boundaries(data, gear)
     starts = np.r_[0, ends[:-1]] if len(ends) else ends
     digest = xxhash.xxh3_64_intdigest
