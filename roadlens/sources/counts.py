@@ -31,9 +31,28 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return folded.select(*keys, *[F.col("__first")[c].alias(c) for c in rest])
 
 
+#: Values of the first order column whose rows are numbered together.
+KEY_BLOCK = 10_000
+
+
 def numbered(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
-    """``id`` from ``start`` + 1 in the given order, for tables as small as counts are."""
-    return rows.withColumn("id", (F.row_number().over(W.orderBy(*order)) + start).cast("int"))
+    """``id`` from ``start`` + 1 in the given order, whose first column is a whole number.
+
+    Rows are numbered within blocks of KEY_BLOCK values of that column and shifted by the blocks before: no task
+    orders all rows, and the window without a key sees one row a block. Ids are int, as the tables declare
+    them; a table that outgrows them ends in an error and not in repeated ids.
+    """
+    dealt = rows.withColumn("__block", F.floor(F.col(order[0]) / KEY_BLOCK))
+    sizes = dealt.groupBy("__block").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shifts = sizes.select(F.col("__block").alias("__shifted"), before.alias("__before"))
+    placed = dealt.withColumn("__within", F.row_number().over(W.partitionBy("__block").orderBy(*order)))
+    joined = placed.join(shifts, F.col("__block") == F.col("__shifted"))
+    return joined.withColumn("id", (F.lit(start) + F.col("__before") + F.col("__within")).cast("int")).drop("__block", "__shifted", "__before", "__within")
+
+
+def last_id(table: DataFrame | None) -> int:
+    return 0 if table is None else table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
 def session_totals(sessions: Column) -> dict[str, Column]:
@@ -60,13 +79,19 @@ def unpivot_entries(rows: DataFrame, column: str, key: str = "id") -> DataFrame:
     return entries.select(key, parts[0].alias("from_direction"), parts[1].alias("to_direction"), "count")
 
 
-def load(documents: DataFrame, locations: DataFrame | None = None, events: DataFrame | None = None) -> CountTables:
+def load(
+    documents: DataFrame,
+    locations: DataFrame | None = None,
+    events: DataFrame | None = None,
+    sessions: DataFrame | None = None,
+    movements: DataFrame | None = None,
+) -> CountTables:
     """New rows of the four tables from documents (see ``schemas.COUNT_DOCUMENT``) with their position.
 
     Documents without coordinates, or with a zero one, are skipped. Locations are told by name, and the first
     document of one makes it, sessions or not. A document without sessions makes no event; of several of a
     location and day the first makes it, and brings its sessions. What is already in ``locations`` and
-    ``events`` is used, and neither made anew nor given more sessions.
+    ``events`` is used, and neither made anew nor given more sessions. Ids go on behind the largest of each table.
     """
     valid = documents.filter(valid_coordinates())
     flat = valid.select(
@@ -88,11 +113,9 @@ def load(documents: DataFrame, locations: DataFrame | None = None, events: DataF
         F.col("data.sessions").alias("sessions"),
     )
     made = first_wins(flat.select("position", "name", "city", "state", "latitude", "longitude", "metadata"), ["name"], ["position"])
-    last_location = 0
     if locations is not None:
         made = made.join(locations.select(F.col("name").alias("__name")), F.col("name") == F.col("__name"), "left_anti")
-        last_location = locations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    made = numbered(made, ["position"], last_location).select("id", "name", "city", "state", "latitude", "longitude", "metadata")
+    made = numbered(made, ["position"], last_id(locations)).select("id", "name", "city", "state", "latitude", "longitude", "metadata")
     named = made.select(F.col("id").alias("location_id"), F.col("name").alias("__name"))
     if locations is not None:
         named = named.unionByName(locations.select(F.col("id").alias("location_id"), F.col("name").alias("__name")))
@@ -100,18 +123,17 @@ def load(documents: DataFrame, locations: DataFrame | None = None, events: DataF
     held = flat.filter(F.coalesce(F.size("sessions") > 0, F.lit(False))).join(named, F.col("name") == F.col("__name"))
     held = held.select("position", "location_id", "counting_date", "sessions", *[c.alias(n) for n, c in session_totals(F.col("sessions")).items()])
     new = first_wins(held, ["location_id", "counting_date"], ["position"])
-    last_event = 0
     if events is not None:
         there = events.select(F.col("location_id").alias("__place"), F.col("counting_date").alias("__day"))
         new = new.join(there, (F.col("location_id") == F.col("__place")) & (F.col("counting_date") == F.col("__day")), "left_anti")
-        last_event = events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = numbered(new, ["position"], last_event)
+    new = numbered(new, ["position"], last_id(events))
     event_columns = ["id", "location_id", "counting_date", "start_time", "end_time", "total_cyclists", "max_hour_cyclists"]
 
     spread = new.select(F.col("id").alias("event_id"), F.posexplode("sessions").alias("__place", "s"))
-    sessions = numbered(spread.select("event_id", "__place", "s.*"), ["event_id", "__place"])
-    movements = numbered(unpivot_movements(sessions).withColumnRenamed("id", "session_id"), ["session_id", "__place"])
-    stamped = sessions.select(
+    held_sessions = numbered(spread.select("event_id", "__place", "s.*"), ["event_id", "__place"], last_id(sessions))
+    moved = unpivot_movements(held_sessions).withColumnRenamed("id", "session_id")
+    moved = numbered(moved, ["session_id", "__place"], last_id(movements))
+    stamped = held_sessions.select(
         "id",
         "event_id",
         F.col("session").alias("session_label"),
@@ -120,4 +142,4 @@ def load(documents: DataFrame, locations: DataFrame | None = None, events: DataF
         "total_cyclists",
         F.to_json("characteristics").alias("characteristics"),
     )
-    return CountTables(made, new.select(*event_columns), stamped, movements.select("id", "session_id", "from_direction", "to_direction", "count"))
+    return CountTables(made, new.select(*event_columns), stamped, moved.select("id", "session_id", "from_direction", "to_direction", "count"))

@@ -38,14 +38,19 @@ def read_years(spark: SparkSession, folder: str, *, drop_uneven: bool = False) -
     return rows.withColumn("file_year", F.regexp_extract(F.element_at(F.split("source_file", "/"), -1), r"(\d{4})", 1).try_cast("int"))
 
 
-def read_documents(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The documents of a JSON array, with ``position``: their place in the file.
+def read_documents(spark: SparkSession, path: str, schema: T.StructType | None = None, *, lines: bool = False) -> DataFrame:
+    """The documents of JSON arrays, or with ``lines`` one of each line, with ``position``, which orders those of a file.
 
-    Without a schema a document is one text column ``document``, whatever its shape.
+    Without a schema a document is one text column ``document``, whatever its shape. An array is read whole, by
+    one task a file and up to 2 GB; more comes in several files, or as lines, which are split like any text.
     """
-    text = spark.read.text(path, wholetext=True)
-    kind = T.ArrayType(T.StringType() if schema is None else schema)
-    each = text.select(F.posexplode(F.from_json("value", kind)).alias("position", "document"))
+    text = spark.read.text(path, wholetext=not lines)
+    kind = T.StringType() if schema is None else schema
+    if lines:
+        each = text.filter(F.trim("value") != "").select(F.col("value") if schema is None else F.from_json("value", kind).alias("value"))
+    else:
+        each = text.select(F.explode(F.from_json("value", T.ArrayType(kind))).alias("value"))
+    each = each.select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("document"))
     return each if schema is None else each.select("position", "document.*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,35 +60,43 @@ def reset(spark: SparkSession) -> None:
 
 
 def load_deaths(spark: SparkSession, folder: str, root: str, *, app_rules: bool = False) -> dict[str, int]:
-    """Yearly files into the table; ``app_rules`` drops uneven rows and takes dates of any eight characters."""
-    rows = deaths.converted(files.read_years(spark, folder, drop_uneven=app_rules), strict=not app_rules)
+    """Yearly files into the table; ``app_rules`` drops uneven rows and takes dates of any eight characters.
+
+    The files are parsed once: typed rows are kept beside the table until they are counted, numbered and added.
+    """
+    kept = f"{root.rstrip('/')}/{tables.STAGED}/parsed-{uuid.uuid4().hex}"
+    deaths.converted(files.read_years(spark, folder, drop_uneven=app_rules), strict=not app_rules).write.parquet(kept)
+    rows = spark.read.parquet(kept)
     there = tables.read(spark, root, "traffic_deaths")
     good = deaths.accepted(rows)
     new = deaths.new_years(good, there)
-    start = there.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if there is not None else 0
-    counters = {"created": new.count(), "skipped": 0, "errors": deaths.rejected(rows).count()}
-    counters["skipped"] = good.count() - counters["created"]
-    deaths.write(deaths.with_keys(new, deaths.batch_mark(), start), f"{root.rstrip('/')}/traffic_deaths")
-    return counters
+    created, held = new.count(), rows.agg(F.count("*").alias("n"), F.count("reject").alias("bad")).first()
+    deaths.write(deaths.with_keys(new, deaths.batch_mark(), counts.last_id(there)), f"{root.rstrip('/')}/traffic_deaths")
+    tables.settle(spark, root)
+    return {"created": created, "skipped": held["n"] - held["bad"] - created, "errors": held["bad"]}
+
+
+COUNT_TABLES = ("counting_locations", "counting_events", "counting_sessions", "session_movements")
 
 
 def load_counts(spark: SparkSession, path: str, root: str) -> dict[str, int]:
-    """A counts document into its four tables. All new rows are worked out before the first is written."""
+    """A counts document into its four tables.
+
+    All new rows are written beside the tables before the first is added, so that each of them is worked out from
+    the tables as they were; a run that dies after that is completed by the next one.
+    """
+    tables.settle(spark, root)
     documents = files.read_documents(spark, path, COUNT_DOCUMENT)
-    made = counts.load(documents, tables.read(spark, root, "counting_locations"), tables.read(spark, root, "counting_events"))
-    names = ("counting_locations", "counting_events", "counting_sessions", "session_movements")
-    held = [df.persist() for df in made]
-    counters = {name: df.count() for name, df in zip(names, held, strict=True)}
-    for name, df in zip(names, held, strict=True):
-        tables.append(df, root, name)
-        df.unpersist()
+    made = counts.load(documents, *(tables.read(spark, root, name) for name in COUNT_TABLES))
+    counters = {name: rows.count() for name, rows in tables.stage(spark, root, dict(zip(COUNT_TABLES, made, strict=True))).items()}
+    tables.settle(spark, root)
     return counters | {"skipped": documents.filter(~counts.valid_coordinates()).count()}
 
 
 def load_profiles(spark: SparkSession, path: str, root: str) -> dict[str, int]:
+    tables.settle(spark, root)
     documents = files.read_documents(spark, path)
-    new = profiles.load(documents, tables.read(spark, root, "cyclist_profiles")).persist()
-    created = new.count()
-    tables.append(new, root, "cyclist_profiles")
-    new.unpersist()
+    new = profiles.load(documents, tables.read(spark, root, "cyclist_profiles"))
+    created = tables.stage(spark, root, {"cyclist_profiles": new})["cyclist_profiles"].count()
+    tables.settle(spark, root)
     return {"created": created, "skipped": documents.count() - created}

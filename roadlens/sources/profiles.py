@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadlens.functions.scalars import json_text, merged_instant
-from roadlens.sources.counts import first_wins, numbered
+from roadlens.sources.counts import first_wins, last_id, numbered
 
 
 def with_key(metadata: Column, key: Column) -> Column:
@@ -27,12 +27,10 @@ def load(documents: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """
     keyed = documents.select("position", json_text(F.col("document"), "id").try_cast("long").alias("key"), json_text(F.col("document"), "data").alias("data"), json_text(F.col("document"), "metadata").alias("metadata"))
     new = first_wins(keyed.filter("key <> 0"), ["key"], ["position"])
-    last = 0
     if existing is not None:
         there = existing.select(json_text(F.col("metadata"), "id").try_cast("long").alias("__key"))
         new = new.join(there, F.col("key") == F.col("__key"), "left_anti")
-        last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    return numbered(new, ["position"], last).select("id", "data", with_key(F.col("metadata"), F.col("key")).alias("metadata"))
+    return numbered(new, ["position"], last_id(existing)).select("id", "data", with_key(F.col("metadata"), F.col("key")).alias("metadata"))
 
 
 def skipped(documents: DataFrame) -> DataFrame:

@@ -190,6 +190,49 @@ def test_loads_run_twice_and_add_once(spark, folder, tmp_path, documents):
     assert tables.read(spark, root, "traffic_deaths").count() == 4 and tables.read(spark, root, "counting_sessions").count() == 4
 
 
+def test_a_second_document_adds_all_of_its_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    both = [document("A", "2013-3-25", sessions=[5, 9]), document("B", "2014-05-06", sessions=[7, 0, 3]), document("A", "2015-01-01", sessions=[2])]
+    counters = []
+    for n in (1, 3):
+        (tmp_path / "c.json").write_text(json.dumps(both[:n]))
+        counters.append(loading.load_counts(spark, str(tmp_path / "c.json"), root))
+    assert counters == [
+        {"counting_locations": 1, "counting_events": 1, "counting_sessions": 2, "session_movements": 2, "skipped": 0},
+        {"counting_locations": 1, "counting_events": 2, "counting_sessions": 4, "session_movements": 3, "skipped": 0},
+    ]
+    stored = {name: [r.asDict() for r in tables.read(spark, root, name).orderBy("id").collect()] for name in loading.COUNT_TABLES}
+    assert all([r["id"] for r in rows] == list(range(1, len(rows) + 1)) for rows in stored.values())
+    assert [(r["location_id"], r["total_cyclists"]) for r in stored["counting_events"]] == [(1, 14), (2, 10), (1, 2)]
+    assert [(r["event_id"], r["total_cyclists"]) for r in stored["counting_sessions"]] == [(1, 5), (1, 9), (2, 7), (2, 0), (2, 3), (3, 2)]
+    assert [(r["session_id"], r["count"]) for r in stored["session_movements"]] == [(1, 5), (2, 9), (3, 7), (5, 3), (6, 2)]
+
+
+def test_a_load_that_died_is_completed_or_dropped(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame([(1, "A"), (2, "B")], "id int, name string")
+    tables.stage(spark, root, {"counting_locations": rows})
+    tables.append(rows.filter("id = 1"), root, "counting_locations")  # as far as the run came
+    tables.append(rows.withColumn("id", F.col("id") + 10), f"{root}/{tables.STAGED}/unfinished", "counting_locations")
+    for _ in range(2):
+        tables.settle(spark, root)
+        assert sorted(r["id"] for r in tables.read(spark, root, "counting_locations").collect()) == [1, 2]
+
+
+def test_numbers_follow_the_order_over_blocks(spark):
+    rows = spark.range(0, 50_000, 7, 5).select((F.col("id") * 3).alias("a"), (F.col("id") % 5).alias("b"))
+    got = [(r["a"], r["id"]) for r in counts.numbered(rows, ["a", "b"], 100).orderBy("a").collect()]
+    assert [n for _, n in got] == list(range(101, 101 + len(got)))
+    assert counts.numbered(rows.limit(0), ["a"]).count() == 0
+
+
+def test_documents_as_lines(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(document(n, "2013-3-25", sessions=[1])) for n in "AB") + "\n\n")
+    got = files.read_documents(spark, str(tmp_path / "c.jsonl"), schemas.COUNT_DOCUMENT, lines=True)
+    assert [r["metadata"]["name"] for r in got.orderBy("position").collect()] == ["A", "B"]
+    assert files.read_documents(spark, str(tmp_path / "c.jsonl"), lines=True).columns == ["position", "document"]
+
+
 def test_schemas():
     assert {n: len(t.fields) for n, t in schemas.TABLES.items()} == {"traffic_deaths": 51, "counting_locations": 9, "counting_events": 11, "counting_sessions": 9, "session_movements": 6, "cyclist_profiles": 5}
     assert "PARTITIONED BY (data_year)" in schemas.ddl("traffic_deaths") and len(schemas.MOVEMENT_KEYS) == 12
