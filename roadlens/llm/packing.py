@@ -2,7 +2,7 @@
 
 Only the histogram of piece lengths is planned on the driver; it has as many entries as a sequence has tokens,
 whatever the corpus. Patterns of few lengths that fill a sequence are fitted to it by non-negative least
-squares, repeat counts are rounded down, and what is left is packed best fit first. The plan then gives the n-th
+squares, repeat counts are rounded by largest remainder, and what is left is packed best fit first. The plan then gives the n-th
 piece of a length its place, and pieces are numbered without gathering those of a length anywhere.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -57,21 +58,27 @@ def _encoding(ranks_path: str) -> tiktoken.Encoding:
 
 
 @functools.cache
-def _tokenizer(path: str) -> tokenizers.Tokenizer:
+def _tokenizer(path: str) -> tuple[tokenizers.Tokenizer, re.Pattern[str] | None]:
+    """The tokenizer, and what finds its special tokens' names in a text."""
     found = tokenizers.Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    names = sorted(t.content for t in found.get_added_tokens_decoder().values())
+    return found, re.compile("|".join(map(re.escape, names))) if names else None
 
 
 def encode(text: str, path: str, ranks_path: str) -> np.ndarray:
-    """The ids of ``text``. Special tokens' names in a text are ordinary text. Where the faster library gives up
-    (its pattern engine has a limit on, say, a million blanks in a row), the other one reads the text."""
-    try:
-        return _encoding(ranks_path).encode_to_numpy(text, disallowed_special=())
-    except BaseException as e:
-        if isinstance(e, (KeyboardInterrupt, SystemExit)):
-            raise
-        return np.array(_tokenizer(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    """The ids that the tokenizer gives ``text``, where the name of a special token is that token.
+
+    A faster library that reads the same vocabulary as ranks gives the same ids for every other text (a test
+    holds all code points against each other), so it reads those. Its pattern engine gives up on, say, a million
+    blanks in a row: such a text goes to the tokenizer too.
+    """
+    tokenizer, special = _tokenizer(path)
+    if special is None or not special.search(text):
+        try:
+            return _encoding(ranks_path).encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            pass
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cuts(n: int, capacity: int) -> list[int]:
@@ -192,24 +199,28 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that hold just the pieces counted, by length."""
+    """(pattern, repeats) that hold just the pieces counted, by length.
+
+    The fit's repeats are rounded by largest remainder: whole parts first, the most repeated pattern before the
+    others, then one more of each pattern in the order of the parts cut off, as long as its pieces are there.
+    What no pattern takes is packed best fit.
+    """
     left = {length: n for length, n in counts.items() if n and length < capacity}
     out = [((capacity,), counts[capacity])] if counts.get(capacity) else []
     if left:
         found = patterns(np.array(sorted(left)), capacity)
         x = fit(found, left, capacity)
-        for j in np.argsort(-x, kind="stable").tolist():
+        whole = np.floor(x)
+        steps = [(j, int(whole[j])) for j in np.argsort(-whole, kind="stable").tolist() if whole[j]]
+        steps += [(j, 1) for j in np.argsort(whole - x, kind="stable").tolist() if x[j] > whole[j]]
+        for j, wanted in steps:
             pattern = found[j]
-            n = min(int(x[j]), *(left[length] // pattern.count(length) for length in set(pattern)))
+            n = min(wanted, *(left[length] // pattern.count(length) for length in set(pattern)))
             if n > 0:
                 out.append((pattern, n))
                 for length in pattern:
                     left[length] -= n
-    chosen = best_fit({length: n for length, n in left.items() if n}, capacity)
-    # Whichever needs fewer sequences: on few pieces rounding can cost more than patterns save.
-    plain = best_fit({length: n for length, n in counts.items() if n}, capacity)
-    fitted = out + chosen
-    return fitted if sum(n for _, n in fitted) <= sum(n for _, n in plain) else plain
+    return out + best_fit({length: n for length, n in left.items() if n}, capacity)
 
 
 class Slots:
@@ -285,4 +296,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """``pack`` with the contract's capacity and tokenizer: a null text is a piece of the closing id, a row without
+    doc_id or a repeated row is packed like any other, an empty table gives no rows."""
     return pack(docs)

@@ -273,9 +273,40 @@ def test_decontamination_with_wide_windows(spark, n):
 def test_ids_are_those_of_the_tokenizer(texts):
     path, ranks = public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)
     plain = Tokenizer.from_file(path)
-    odd = ["", " ", "\n\n  x", "a" * 3000, "é\U0001f600 don't I'LL 12 3", "\t \r\n" * 50, "don't stop now"]
-    for text in [*odd, *list(texts.values())[:60]]:
+    odd = ["", " ", "\n\n  x", "a" * 3000, "é\U0001f600 don't I'LL 12 3", "\t \r\n" * 50, "don't stop now", " " * 1_200_000]
+    odd += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "x<|ENDOFTEXT|>"]
+    for text in [*odd, *texts.values()]:
         assert packing.encode(text, path, ranks).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert packing.encode("<|endoftext|>", path, ranks).tolist() == [50256]
+
+
+PLAIN = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", " ", "\n", "'s"])), max_size=10))
+def test_ids_of_any_text_are_those_of_the_tokenizer(parts):
+    path, ranks = public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)
+    assert packing.encode("".join(parts), path, ranks).tolist() == PLAIN.encode("".join(parts), add_special_tokens=False).ids
+
+
+def test_ids_of_all_code_points_are_those_of_the_tokenizer():
+    """In words, behind blanks, before and after digits and marks: what the two libraries' patterns look at."""
+    path, ranks = public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 64):
+        text = "".join(f"a{c} {c}1{c}!\n{c}b" for c in points[i : i + 64])
+        assert packing.encode(text, path, ranks).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def test_patterns_place_most_sequences():
+    dice = np.random.default_rng(2)
+    lengths, n = np.unique(np.minimum(2048, dice.lognormal(6, 1.2, 4000).astype(int) + 1), return_counts=True)
+    counts = dict(zip(lengths.tolist(), n.tolist(), strict=True))
+    planned = packing.plan(counts)
+    total = sum(n for _, n in planned)
+    few = sum(n for p, n in planned if len(p) <= 3)
+    assert total <= 1.01 * sum(p * n for p, n in counts.items()) / 2048 + 1 and few > 0.5 * total
 
 
 def test_packing_is_whole_and_tight(spark, docs, texts):
