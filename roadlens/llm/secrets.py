@@ -1,9 +1,10 @@
 """Secret scanning: fixed formats, and formats inferred from labelled credentials.
 
-Labelled credentials are the values that the fixed formats find in all documents, a bounded number of each kind. For each kind
-a prefix tree counts their characters, by class; states whose futures are statistically compatible (Hoeffding
-bound) are merged into a probabilistic automaton. Every other token of the corpus that looks long enough is
-scored by its likelihood under each automaton, against that of ordinary tokens.
+Labelled credentials are the values that the fixed formats find in all documents. Values of one kind and one
+set of character classes are a format. Of each format a prefix tree counts the characters; states whose futures
+are statistically compatible (Hoeffding bounds on the next symbols, and on how many are still to come) are
+merged into a probabilistic automaton. Every other token of the corpus, and every part of one that stands
+between separators, is scored: the likelihood that the format writes just it, against that of ordinary tokens.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -22,29 +24,38 @@ from roadlens.llm.common import quoted, with_text_columns, write_out
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Marks that a token may hold, and characters of the shortest token.
-SEPARATORS = re.compile(r"[+/_=-]+")
-SHORTEST = 16
+#: Candidates have as many characters as the shortest labelled value can have.
+SHORTEST = 6
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Marks that a token may hold; parts of it begin behind and end before them.
+SEPARATORS = re.compile(r"[+/_.=-]")
 #: Kinds in the order that breaks ties between spans of the same start; the last one is the inferred one.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "format")
 
-#: Documents sampled for background tokens, by hash; labelled values of a kind and background tokens kept, the
-#: first by hash.
+#: What the automata are fitted on: distinct labelled values of a format, the first by hash, of LONGEST characters
+#: at most; formats learned apart, the ones with the most values (those of a kind beyond that are learned
+#: together); documents whose tokens stand for ordinary ones, by hash, and tokens of them.
+SAMPLE_VALUES = 2_000
+LONGEST = 1_024
+FORMATS = 64
 SAMPLE_DOCS = 20_000
-SAMPLE_VALUES = 4_000
-#: Characters of a value that the automata are learned from: what bounds their depth. Tokens are read whole.
-DEPTH = 48
+SAMPLE_ORDINARY = 4_000
 ALPHA = 0.05
-#: A state seen less often isn't merged by itself: its sample says too little.
+#: States seen less often are not told apart by their next symbols, and formats of fewer values are not learned.
 MIN_SEEN = 8
-#: Share of labelled values that the threshold lets through.
-RECALL = 0.9
-#: Least advantage over the background, in nats a character.
-MIN_GAIN = 0.4
-
-END = "$"
+#: Greatest difference of two states' remaining lengths (between their distributions) at which they may be merged,
+#: however little they were seen.
+APART = 0.5
+#: Share of labelled values held out of the fit that the threshold lets through, and its least value, in nats: a
+#: candidate is so much likelier under the format than under ordinary tokens.
+RECALL = 0.98
+MIN_GAIN = 12.0
+#: Share of a format's values whose set of classes is one that the format mostly has.
+USUAL = 0.05
+#: Tokens whose findings a worker keeps, as words repeat, and the longest one kept.
+KEPT_TOKENS = 100_000
+KEPT_LENGTH = 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -57,168 +68,283 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def classes(token: str) -> str:
-    """Characters by class: capitals, a-f, other small letters, digits; marks stay themselves."""
-    return "".join("U" if "A" <= c <= "Z" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "d" if "0" <= c <= "9" else c for c in token)
+#: Character classes; marks are classes of their own.
+CLASSES = {"U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "d": "0123456789"} | {c: c for c in "+/_.=-"}
+CLASS_OF = {c: k for k, members in CLASSES.items() for c in members}
+
+
+def signature(value: str) -> str:
+    """The classes that a value's characters are of, small letters as one."""
+    return "".join(sorted({"l" if (k := CLASS_OF[c]) == "h" else k for c in value}))
+
+
+class PrefixTree:
+    """A prefix tree of classes. Of each state: how often it was seen and ended in, its children by class, the
+    characters read towards it, and how many symbols were still to come."""
+
+    def __init__(self, values: Iterable[str]) -> None:
+        self.seen, self.ends = [0], [0]
+        self.kids: list[dict[str, int]] = [{}]
+        self.read: list[Counter] = [Counter()]
+        self.rest: list[Counter] = [Counter()]
+        self.joined = [0]
+        for value in values:
+            state = 0
+            for i, c in enumerate(value):
+                self.seen[state] += 1
+                self.rest[state][len(value) - i] += 1
+                k = CLASS_OF[c]
+                if k not in self.kids[state]:
+                    self.kids[state][k] = len(self.seen)
+                    self.joined.append(len(self.seen))
+                    self.seen.append(0)
+                    self.ends.append(0)
+                    self.kids.append({})
+                    self.read.append(Counter())
+                    self.rest.append(Counter())
+                state = self.kids[state][k]
+                self.read[state][c] += 1
+            self.seen[state] += 1
+            self.ends[state] += 1
+            self.rest[state][0] += 1
+
+    def find(self, state: int) -> int:
+        """The state that ``state`` was merged into."""
+        root = state
+        while self.joined[root] != root:
+            root = self.joined[root]
+        while self.joined[state] != root:
+            self.joined[state], state = root, self.joined[state]
+        return root
+
+    def children(self, state: int) -> dict[str, int]:
+        return {k: self.find(kid) for k, kid in self.kids[state].items()}
+
+    def apart(self, a: int, b: int) -> float:
+        """Greatest difference between the distributions of the symbols still to come."""
+        x, y, n, m = self.rest[a], self.rest[b], self.seen[a], self.seen[b]
+        gap = most = 0.0
+        for length in sorted(x.keys() | y.keys()):
+            gap += x[length] / n - y[length] / m
+            most = max(most, abs(gap))
+        return most
+
+    def compatible(self, a: int, b: int, spread: float) -> float | None:
+        """How far apart two states are, or None if they can't be one: here, or at states that both reach alike,
+        the shares of a symbol, of ending, or of the symbols to come differ by more than their counts allow."""
+        distance = self.apart(a, b)
+        if distance > APART:
+            return None
+        todo, met = [(a, b)], set()
+        while todo:
+            pair = todo.pop()
+            x, y = pair
+            n, m = self.seen[x], self.seen[y]
+            if x == y or pair in met or n < MIN_SEEN or m < MIN_SEEN:
+                continue
+            met.add(pair)
+            bound = spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+            if abs(self.ends[x] / n - self.ends[y] / m) > bound or self.apart(x, y) > bound:
+                return None
+            mine, other = self.children(x), self.children(y)
+            for k in mine.keys() | other.keys():
+                c, d = mine.get(k), other.get(k)
+                # An arc's own count, and not all that was seen of the state it leads to.
+                if abs((self.arc(x, k) / n if c is not None else 0.0) - (self.arc(y, k) / m if d is not None else 0.0)) > bound:
+                    return None
+                if c is not None and d is not None:
+                    todo.append((c, d))
+        return distance
 
+    def arc(self, state: int, k: str) -> int:
+        return sum(self.out[state][k].values())
 
-class Automaton:
-    """A probabilistic automaton: state -> symbol -> (next state, log probability)."""
+    def merge(self, into: int, other: int) -> None:
+        """Folds ``other`` and what hangs on it into ``into``, so that each state keeps one arc a symbol."""
+        todo = [(into, other)]
+        while todo:
+            x, y = map(self.find, todo.pop())
+            if x == y:
+                continue
+            self.joined[y] = x
+            self.seen[x] += self.seen[y]
+            self.ends[x] += self.ends[y]
+            self.rest[x].update(self.rest[y])
+            for k, read in self.out[y].items():
+                self.out[x].setdefault(k, Counter()).update(read)
+            for k, kid in self.kids[y].items():
+                if k in self.kids[x]:
+                    todo.append((self.kids[x][k], kid))
+                else:
+                    self.kids[x][k] = kid
+
+    def settle(self, alpha: float) -> list[int]:
+        """Merges states in breadth-first order of those that are not settled; what is left, the first one first.
+
+        A state goes to the nearest settled one it is compatible with, or is settled itself.
+        """
+        # Characters read on each arc: they stay with the arc's source when states are merged.
+        self.out = [{k: self.read[kid] for k, kid in kids.items()} for kids in self.kids]
+        spread = math.sqrt(0.5 * math.log(2 / alpha))
+        settled = [0]
+        i = 0
+        while i < len(settled):
+            # Folding may hang new arcs on any settled state: the first that has one is next.
+            fresh = [kid for _, kid in sorted(self.children(settled[i]).items()) if kid not in settled]
+            if not fresh:
+                i += 1
+                continue
+            state = fresh[0]
+            near = [(d, n, s) for n, s in enumerate(settled) if (d := self.compatible(s, state, spread)) is not None]
+            if near:
+                self.merge(min(near)[2], state)
+                i = 0
+            else:
+                settled.append(state)
+        return settled
 
-    def __init__(self, arcs: list[dict[str, tuple[int, float]]]) -> None:
-        self.arcs = arcs
 
-    def totals(self, word: str) -> list[float]:
-        """Log likelihood of each beginning of a token's classes; unknown steps cost as much as a rare one and
-        stay in place."""
+class Automaton:
+    """A probabilistic automaton: of each state character -> (next state, log probability), and that of ending."""
+
+    def __init__(self, values: Iterable[str], alpha: float = ALPHA) -> None:
+        tree = PrefixTree(values)
+        states = tree.settle(alpha)
+        place = {s: i for i, s in enumerate(states)}
+        self.steps: list[dict[str, tuple[int, float]]] = []
+        self.ending: list[float | None] = []
+        for s in states:
+            step = {}
+            n = tree.seen[s] or 1
+            for k, kid in sorted(tree.children(s).items()):
+                read, members = tree.out[s][k], CLASSES[k]
+                taken = sum(read.values())
+                for c in members:
+                    # Characters of a class that was read here are all possible.
+                    step[c] = (place[kid], math.log(taken / n * (read[c] + 0.5) / (taken + 0.5 * len(members))))
+            self.steps.append(step)
+            self.ending.append(math.log(tree.ends[s] / n) if tree.ends[s] else None)
+
+    @classmethod
+    def of_one_state(cls, values: Iterable[str]) -> Automaton:
+        """How often each character occurs, and how often a value ends: all that one state can know."""
+        found = cls([])
+        read: Counter = Counter()
+        n = 0
+        for value in values:
+            read.update(value)
+            n += 1
+        total = sum(read.values()) + n + 0.5 * len(CLASS_OF) + 0.5
+        found.steps = [{c: (0, math.log((read[c] + 0.5) / total)) for c in CLASS_OF}]
+        found.ending = [math.log((n + 0.5) / total)]
+        return found
+
+    def parts(self, token: str, start: int, stops: list[int]) -> list[tuple[int, float]]:
+        """(end, log likelihood, ending there) of the parts from ``start`` that the automaton can write and that end
+        at one of ``stops`` (ascending)."""
         state, total, out = 0, 0.0, []
-        for symbol in word:
-            state, p = self.arcs[state].get(symbol, (state, UNSEEN))
-            total += p
-            out.append(total)
+        steps, ending = self.steps, self.ending
+        i = 0
+        while i < len(stops) and stops[i] <= start:
+            i += 1
+        for at in range(start, len(token)):
+            found = steps[state].get(token[at])
+            if found is None:
+                break
+            state = found[0]
+            total += found[1]
+            if i < len(stops) and stops[i] == at + 1:
+                if ending[state] is not None:
+                    out.append((at + 1, total + ending[state]))
+                i += 1
         return out
 
-    def score(self, token: str) -> float:
-        """Mean log likelihood a symbol, of the whole token."""
-        totals = self.totals(classes(token))
-        return totals[-1] / len(totals) if totals else 0.0
-
 
+#: Cost of a step, or an end, that ordinary tokens never made; such a step stays in its state.
 UNSEEN = math.log(1e-4)
 
 
-def infer(values: Iterable[str], alpha: float = ALPHA) -> Automaton:
-    """Merges compatible states of the prefix tree of the values' first DEPTH characters, in breadth-first order of
-    the states to be merged.
+def ordinary_totals(background: Automaton, token: str, start: int, ends: list[int]) -> list[float]:
+    """Log likelihood of the parts from ``start`` to each of ``ends`` (ascending) as ordinary tokens."""
+    state, total, out, at = 0, 0.0, [], start
+    for end in ends:
+        while at < end:
+            state, p = background.steps[state].get(token[at], (state, UNSEEN - math.log(len(CLASSES[CLASS_OF[token[at]]]))))
+            total += p
+            at += 1
+        out.append(total + (UNSEEN if background.ending[state] is None else background.ending[state]))
+    return out
 
-    Two states are compatible if the shares of each symbol, and of ending, differ by no more than the
-    Hoeffding bound allows, here and at all states that both reach by the same symbols.
-    """
-    seen: list[int] = [0]
-    kids: list[dict[str, int]] = [{}]
-    for value in values:
-        state = 0
-        seen[0] += 1
-        for symbol in (*classes(value[:DEPTH]), END):
-            if symbol not in kids[state]:
-                kids[state][symbol] = len(seen)
-                seen.append(0)
-                kids.append({})
-            state = kids[state][symbol]
-            seen[state] += 1
-    spread = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
-        while todo:
-            x, y = todo.pop()
-            n, m = seen[x], seen[y]
-            if n < MIN_SEEN or m < MIN_SEEN:
-                continue
-            bound = spread * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-            for symbol in kids[x].keys() | kids[y].keys():
-                c, d = kids[x].get(symbol), kids[y].get(symbol)
-                if abs((seen[c] / n if c is not None else 0.0) - (seen[d] / m if d is not None else 0.0)) > bound:
-                    return False
-                if c is not None and d is not None and c != d:
-                    todo.append((c, d))
-        return True
 
-    def fold(into: int, other: int) -> None:
-        todo = [(into, other)]
-        while todo:
-            x, y = todo.pop()
-            if x == y:
-                continue
-            seen[x] += seen[y]
-            for symbol, kid in kids[y].items():
-                mine = kids[x].setdefault(symbol, kid)
-                if mine != kid:
-                    todo.append((mine, kid))
-
-    settled, border = [0], [(0, s) for s in sorted(kids[0])]
-    while border:
-        parent, symbol = border.pop(0)
-        state = kids[parent][symbol]
-        if state in settled or symbol == END:
-            continue
-        match = next((s for s in settled if compatible(s, state)), None)
-        if match is None:
-            settled.append(state)
-            border += [(state, s) for s in sorted(kids[state])]
-        else:
-            kids[parent][symbol] = match
-            before = set(kids[match])
-            fold(match, state)
-            border += [(match, s) for s in sorted(set(kids[match]) - before)]
-    place = {s: i for i, s in enumerate(settled)}
-    arcs = []
-    for s in settled:
-        total = sum(seen[k] for k in kids[s].values()) or 1
-        # An arc may lead to a state that was folded while its arc stood; it then stays where it is.
-        arcs.append({x: (place.get(k, place[s]), math.log(max(1, seen[k]) / max(total, seen[k], 1))) for x, k in sorted(kids[s].items())})
-    return Automaton(_normal(arcs))
-
-
-def _normal(arcs: list[dict[str, tuple[int, float]]]) -> list[dict[str, tuple[int, float]]]:
-    out = []
-    for a in arcs:
-        total = sum(math.exp(p) for _, p in a.values()) or 1.0
-        out.append({x: (k, p - math.log(total)) for x, (k, p) in a.items()})
-    return out
+def held_out(value: str) -> bool:
+    """Whether a sampled value sets the threshold and not the automaton: one of three."""
+    return hashlib.md5(value.encode()).digest()[0] % 3 == 0
 
 
 class Model:
-    """Automata by kind of credential with their thresholds, and one for ordinary tokens."""
+    """Automata by format with their thresholds, and one for ordinary tokens.
+
+    Credentials that stand without a cue are among the ordinary tokens, and would teach that automaton their
+    format. So those of the classes that a format's values mostly have are left out of its fit, if even the
+    frequencies of characters tell them from ordinary tokens.
+    """
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]) -> None:
-        self.background = infer(ordinary) if ordinary else Automaton([{}])
-        self.kinds: list[tuple[Automaton, float]] = []
-        for _, values in sorted(labelled.items()):
-            if len(values) >= MIN_SEEN:
-                automaton = infer(values)
-                gains = sorted(automaton.score(v) - self.background.score(v) for v in values)
-                self.kinds.append((automaton, max(MIN_GAIN, gains[int((1 - RECALL) * len(gains))])))
-
-    def suspicious(self, token: str) -> bool:
-        """Whether a token, or a part of one that is longer than DEPTH, looks like a credential.
-
-        Parts begin behind separators, or at any of the places half of DEPTH apart, and end before separators,
-        with the token, or where they are DEPTH long.
-        """
-        if not any("0" <= c <= "9" for c in token):
-            return False
-        word = classes(token)
-        if self._like(word, [len(word)]):
-            return True
-        if len(word) <= DEPTH:
-            return False
-        ends = sorted({len(word), *(m.start() for m in SEPARATORS.finditer(word))})
-        starts = sorted({*range(0, len(word) - SHORTEST + 1, DEPTH // 2), *(m.end() for m in SEPARATORS.finditer(word))})
-        i = 0
+        self.kept: dict[str, list[tuple[int, int]]] = {}
+        fitted = {name: [v for v in values if not held_out(v)] for name, values in sorted(labelled.items())}
+        automata = {name: Automaton(values) for name, values in fitted.items() if len(values) >= MIN_SEEN}
+        self.background = Automaton.of_one_state(ordinary)
+        self.formats: list[tuple[str, Automaton, float]] = [(name, a, MIN_GAIN) for name, a in automata.items()]
+        usual = set()
+        for values in fitted.values():
+            signs = Counter(map(signature, values))
+            usual |= {s for s, n in signs.items() if n >= USUAL * len(values)}
+        alike = lambda v: any(signature(v[a:b]) in usual for a, b in self.search(v))
+        self.background = Automaton([v for v in ordinary if not alike(v)])
+        for i, (name, automaton, _) in enumerate(self.formats):
+            tried = [v for v in labelled[name] if held_out(v)] or fitted[name]
+            gains = sorted(self.gain(automaton, v) for v in tried)
+            self.formats[i] = (name, automaton, max(MIN_GAIN, gains[int((1 - RECALL) * len(gains))]))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def gain(self, automaton: Automaton, value: str) -> float:
+        """How much likelier a value is as one of the format than as an ordinary token, in nats."""
+        found = automaton.parts(value, 0, [len(value)])
+        return found[0][1] - ordinary_totals(self.background, value, 0, [len(value)])[0] if found else -math.inf
+
+    def search(self, token: str) -> list[tuple[int, int]]:
+        """The parts of a token (start, end) that a format is likely to have written: from left to right, of those
+        with the same start the longest, and none that overlaps one before it. The token itself is a part."""
+        marks = [m.start() for m in SEPARATORS.finditer(token)]
+        starts = sorted({0, *(m + 1 for m in marks)})
+        stops = sorted({len(token), *marks})
+        out, low = [], 0
         for start in starts:
-            while i < len(ends) and ends[i] < start + SHORTEST:
-                i += 1
-            part, j = word[start : start + DEPTH], i
-            while j < len(ends) and ends[j] < start + len(part):
-                j += 1
-            lengths = [e - start for e in ends[i:j]]
-            if len(part) >= SHORTEST and self._like(part, [*lengths, len(part)]):
-                return True
-        return False
-
-    def _like(self, word: str, lengths: list[int]) -> bool:
-        """Whether one of the beginnings of these lengths has a digit and is likelier than ordinary tokens are."""
-        digit = word.find("d")
-        lengths = [n for n in lengths if n > digit >= 0]
-        if not lengths:
-            return False
-        ground = self.background.totals(word)
-        for automaton, least in self.kinds:
-            totals = automaton.totals(word)
-            if any(totals[n - 1] / n - ground[n - 1] / n >= least for n in lengths):
-                return True
-        return False
+            if start < low or len(token) - start < SHORTEST:
+                continue
+            best = 0
+            for _, automaton, least in self.formats:
+                found = [(end, p) for end, p in automaton.parts(token, start, stops) if end - start >= SHORTEST and end > best]
+                if found:
+                    ground = ordinary_totals(self.background, token, start, [end for end, _ in found])
+                    best = max([best, *(end for (end, p), q in zip(found, ground, strict=True) if p - q >= least)])
+            if best:
+                out.append((start, best))
+                low = best
+        return out
+
+    def suspicious(self, token: str) -> list[tuple[int, int]]:
+        """``search``, which is done once for a word that repeats."""
+        if len(token) > KEPT_LENGTH:
+            return self.search(token)
+        found = self.kept.get(token)
+        if found is None:
+            if len(self.kept) >= KEPT_TOKENS:
+                self.kept.clear()
+            found = self.kept[token] = self.search(token)
+        return found
 
 
 def value_of(text: str, span: tuple[int, int, int]) -> str:
@@ -226,34 +352,68 @@ def value_of(text: str, span: tuple[int, int, int]) -> str:
     return ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES) -> Model:
-    """Labelled values from all documents, background tokens from a bounded sample of them; repeated ones count once."""
-    n = docs.count()
-    share = min(1.0, 1.2 * sample_docs / n + 50.0 / n) if n else 1.0
-    texts = docs.select("text")
-    sample = texts.filter((F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)) < share)
-    fields = T.StructType([T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))])
+FOUND = T.StructType([T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("signs", T.StringType()), T.StructField("value", T.StringType())])))])
 
-    def labels() -> Callable[[list], list[list]]:
-        return lambda texts: [[[{"kind": BASE[s[1]], "value": value_of(t, s)[:DEPTH]} for s in base_spans(t or "")] for t in texts]]
 
-    def background() -> Callable[[list], list[list]]:
-        def compute(texts: list) -> list[list]:
-            out = []
-            for text in texts:
-                taken = {(s[0], s[2]) for s in base_spans(text or "")}
-                out.append([{"kind": "", "value": m[0][:DEPTH]} for m in TOKEN.finditer(text or "") if not any(a <= m.start() < b or a < m.end() <= b for a, b in taken)])
-            return [out]
+def _labels() -> Callable[[list], list[list]]:
+    def found(text: str) -> list[dict]:
+        spans = base_spans(text)
+        values = {value_of(text, s): s[1] for s in sorted(spans, key=lambda s: s[1])}  # the narrowest kind of a value
+        return [{"kind": BASE[k], "signs": signature(v), "value": v} for v, k in values.items() if len(v) <= LONGEST]
 
-        return compute
+    return lambda texts: [[found(t or "") for t in texts]]
+
+
+def _ordinary() -> Callable[[list], list[list]]:
+    def found(text: str) -> list[dict]:
+        taken, out, i, reach = sorted((s[0], s[2]) for s in base_spans(text)), set(), 0, 0
+        for m in TOKEN.finditer(text):
+            while i < len(taken) and taken[i][0] < m.end():
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= m.start():
+                out |= {v for v in (m[0], *SEPARATORS.split(m[0])) if SHORTEST <= len(v) <= LONGEST}
+        return [{"kind": "", "signs": "", "value": v} for v in sorted(out)]
 
-    rows = with_text_columns(texts, "text", fields, labels).select("found").unionByName(with_text_columns(sample, "text", fields, background).select("found"))
-    found = rows.select(F.explode("found").alias("f")).select("f.kind", "f.value").distinct()
-    # Distinct findings, read once for each kind.
-    numbered = write_out(found.withColumn("h", F.xxhash64("value")), "labelled-values")
-    labelled = {kind: [r["value"] for r in numbered.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample_values).collect()] for kind in (*BASE, "")}
-    ordinary = labelled.pop("")
-    return Model(labelled, ordinary)
+    return lambda texts: [[found(t or "") for t in texts]]
+
+
+def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_values: int = SAMPLE_VALUES, sample_ordinary: int = SAMPLE_ORDINARY) -> Model:
+    """Labelled values from all documents, ordinary tokens from a bounded sample of them; repeated ones count once.
+
+    The driver gets about ``sample_values`` values of FORMATS formats, and of one format more a kind, which
+    gathers the rarer ones. Null and empty texts have none; no labelled values give a model without formats.
+    """
+    texts = docs.select("text")
+    n = docs.count()
+    share = min(1.0, 1.2 * sample_docs / n + 50.0 / n) if n else 1.0
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    found = with_text_columns(texts, "text", FOUND, _labels).select("found")
+    found = found.unionByName(with_text_columns(texts.filter(place < share), "text", FOUND, _ordinary).select("found"))
+    values = write_out(found.select(F.explode("found").alias("f")).select("f.*").distinct(), "labelled-values")
+    # Of a value that several kinds have the narrowest counts; a row for each set of classes at most.
+    narrow = values.filter("kind <> ''").groupBy("signs", "value").agg(F.max(F.struct((F.col("kind") != "assign").alias("narrow"), "kind")).alias("k"))
+    narrow = narrow.select(F.col("k.kind").alias("kind"), "signs", "value")
+    sizes = [(r["kind"], r["signs"], r["n"]) for r in narrow.groupBy("kind", "signs").agg(F.count("*").alias("n")).collect()]
+    apart = {(k, s) for k, s, n in sorted(sizes, key=lambda r: (-r[2], r[:2]))[:FORMATS] if n >= MIN_SEEN}
+    names = {(k, s): f"{k} {s}" if (k, s) in apart else f"{k} of rare kinds" for k, s, _ in sizes}
+    totals: Counter = Counter()
+    for k, s, n in sizes:
+        totals[names[k, s]] += n
+    named = narrow.select(F.concat("kind", F.lit(" "), "signs").alias("name"), "value")
+    named = named.unionByName(values.filter("kind = ''").select(F.lit("").alias("name"), "value"))
+    shares = {f"{k} {s}": min(1.0, (1.2 * sample_values + 50.0) / totals[names[k, s]]) for k, s, _ in sizes}
+    n_ordinary = values.filter("kind = ''").count()
+    shares[""] = min(1.0, (1.2 * sample_ordinary + 50.0) / max(1, n_ordinary))
+    limit = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
+    mark = F.xxhash64("value", F.lit(1))
+    picked = named.withColumn("h", mark).filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < limit[F.col("name")])
+    groups: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    by_name = {f"{k} {s}": names[k, s] for k, s, _ in sizes} | {"": ""}
+    for r in picked.collect():
+        groups[by_name[r["name"]]].append((r["h"] % (1 << 30), r["value"]))
+    ordinary = [v for _, v in sorted(groups.pop("", []))[:sample_ordinary]]
+    return Model({name: [v for _, v in sorted(held)[:sample_values]] for name, held in groups.items()}, ordinary)
 
 
 COUNTS = tuple(f"n_{k}" for k in BASE)
@@ -265,16 +425,22 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def all_spans(text: str, model: Model) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The base spans, and these with the tokens added that an automaton takes for a credential."""
+    """The base spans, and these with the parts of tokens added that an automaton takes for a credential.
+
+    What overlaps a base span is known already and not added.
+    """
     base = base_spans(text)
-    covered, added, i, reach = sorted((a, b) for a, _, b in base), [], 0, 0
+    if not model.formats:
+        return base, base
+    taken, added, i, reach = sorted((a, b) for a, _, b in base), [], 0, 0
     for m in TOKEN.finditer(text):
-        a, b = m.span()
-        while i < len(covered) and covered[i][0] < b:
-            reach = max(reach, covered[i][1])
-            i += 1
-        if reach <= a and model.suspicious(m[0]):
-            added.append((a, 3, b))
+        for start, end in model.suspicious(m[0]):
+            a, b = m.start() + start, m.start() + end
+            while i < len(taken) and taken[i][0] < b:
+                reach = max(reach, taken[i][1])
+                i += 1
+            if reach <= a:
+                added.append((a, 3, b))
     return base, sorted(base + added)
 
 
@@ -297,14 +463,16 @@ def secrets(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_sha256 and spans (``kind:start:end``, comma-joined).
 
     Spans are code points, end exclusive, by start and then kind; the base ones are leftmost within their kind
-    and always listed, and ``format`` marks the tokens that only an automaton found. A null text is empty: no
-    spans, the hash of nothing. Every row gives a row; texts are read whole; clashing columns are replaced.
+    and always listed, and ``format`` marks what only an automaton found. A null text is empty: no spans, the hash
+    of nothing. Every row gives a row, repeated ones too; an empty table gives none; texts are read whole, however
+    long; clashing columns are replaced.
     """
     return with_text_columns(docs, text_col, FIELDS, _finder(model))
 
 
 def mask_secrets(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each found span of ``text`` replaced; null texts stay null, other columns as they are."""
+    """``docs`` with each found span of ``text`` replaced, overlapping ones by one mark; null and empty texts stay as
+    they are, and so do other columns (n_chars is not counted anew), repeated rows and their number."""
 
     def make() -> Callable[[list], list[list]]:
         def masked(text: str | None) -> str | None:
@@ -322,5 +490,5 @@ def mask_secrets(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataF
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns; nulls, empty and long texts, ties and repeated rows as in ``secrets``."""
     return secrets(docs.select("doc_id", "text"), learn(docs)).select("doc_id", *COUNTS, "base_sha256", "spans")
