@@ -318,6 +318,69 @@ def test_index_finds_every_component(spark, chunk):
     assert len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_every_link_comes_from_the_index(spark, monkeypatch):
+    """Without what a search of the index finds there is no link: no other path compares codes."""
+    dice = np.random.default_rng(3)
+    codes = dice.integers(0, 2**63, 400, dtype=np.uint64)
+    codes = np.concatenate([codes, codes ^ np.uint64(1 << 17)])
+    key = (codes >> np.uint64(60)).astype(np.int64)
+    rows = simhash.Rows(key, codes, codes.view(np.int64), np.empty((len(codes), 0), np.uint64))
+    found = simhash.Forest()
+    simhash.search(rows, 4, 0, found)
+    assert len(found.links) == 400
+    monkeypatch.setattr(simhash.GrayIndex, "search", lambda *a: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    none = simhash.Forest()
+    simhash.search(rows, 4, 0, none)
+    assert not none.links
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1), st.integers(0, 6)), max_size=60), st.integers(0, 4))
+def test_the_index_finds_all_pairs_of_a_group(rows, limit):
+    codes = []
+    for group, code, flips in rows:
+        codes += [(group, code), (group, code ^ ((1 << flips) - 1) << 9)]
+    index = simhash.GrayIndex(np.array([c for _, c in codes], np.uint64), np.array([g for g, _ in codes], np.int64))
+    if not codes:
+        return
+    got = sorted(zip(*(x.tolist() for x in index.search(index.codes, index.root, limit)), strict=True))
+    held = [codes[i] for i in index.order]
+    n = range(len(held))
+    assert got == [(i, j) for i in n for j in n if held[i][0] == held[j][0] and (held[i][1] ^ held[j][1]).bit_count() <= limit]
+
+
+def test_near_copies_by_words_and_shingles(spark):
+    dice = random.Random(15)
+    rows = []
+    for i in range(30):
+        words_ = [wordy(dice) for _ in range(300)]
+        rows.append(" ".join(words_))
+        for n in (0, 2, 5, 100):  # words that are replaced in a copy
+            other = list(words_)
+            for at in dice.sample(range(300), n):
+                other[at] = wordy(dice)
+            rows.append(" ".join(other))
+    docs = documents(spark, rows)
+    prints = [simhash.copy_prints(t.encode()) for t in rows]
+    linked = lambda a, b: (prints[a][0] ^ prints[b][0]).bit_count() <= 4 and sum((x ^ y).bit_count() for x, y in zip(prints[a][1:], prints[b][1:], strict=True)) <= 20
+    comp = components(range(len(rows)), linked)
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i, c in comp.items() if i == c}
+    shingles = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in rows]
+    alike = lambda i, j: len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
+    near = [i for i in range(len(rows)) if any(alike(i, j) >= 0.8 for j in range(i // 5 * 5, i))]
+    assert len(near) >= 80 and sum(i not in kept for i in near) >= 0.9 * len(near)
+    assert all(i in kept for i in range(0, len(rows), 5)) and all(i in kept for i in range(4, len(rows), 5))
+
+
+def test_rows_without_an_id_and_repeated_rows_in_keep_one(spark):
+    rows = spark.createDataFrame(
+        [(None, "a b", "en", "s", 3), (None, "a b", "en", "s", 3), (4, "x y z", None, None, 5), (4, "x y z", "en", None, 5), (5, None, None, None, None), (6, "", None, None, 0), (7, "q", None, None, 1)], DOCS
+    )
+    got = sorted((r["doc_id"] or -1, r["text"]) for r in simhash.keep_one(rows).collect())
+    assert got == [(-1, "a b"), (-1, "a b"), (4, "x y z"), (5, None), (7, "q")]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (140, 139), (200, 201), (201, 200)]
     got = {r["node"]: r["component"] for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
