@@ -11,19 +11,19 @@ import re
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, with_text_columns
+from roadlens.llm.common import BROADCAST_ROWS, by_position, ship, with_text_columns, write_out
 
 UNKNOWN = "und"
-#: Labelled rows sampled for each language, and code points taken of each: what bounds the dictionaries.
+#: Distinct labelled texts sampled for each language, and letters that a language's dictionary has at most: of the
+#: sampled texts, in the order of their hashes, as many whole ones as fit, and at least one.
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 2000
-#: Languages that can be learned; more raise an error, so that nothing is dropped unseen.
-MAX_LANGUAGES = 500
+DICTIONARY_LETTERS = 800_000
 #: A block is compressed apart, so that the dictionary and not the text's own past decides.
 BLOCK_BYTES = 4096
 LEVEL = 6
@@ -43,41 +43,54 @@ def normal(text: str) -> str:
     return " " + NOT_LETTERS.sub(" ", text.lower())
 
 
-def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
+def learn(labelled: DataFrame, rows: int = SAMPLE_ROWS, letters: int = DICTIONARY_LETTERS) -> dict[str, bytes]:
     """The dictionaries' contents from (text, lang): ``rows`` distinct texts a language, the first by the text's
-    hash, or all where it has fewer.
+    hash, or all where it has fewer, in ``letters`` code points.
 
-    Languages come by their number of labelled rows, the largest first.
-
-    Rows with a null language or without text are ignored. The hash is a property of the text, so the sample does
-    not depend on partitioning, and copies of a text count once. What reaches the driver is about
-    MAX_LANGUAGES * (2 * rows + 30) * chars code points at most.
+    Texts are normalised and gathered on executors, and each language's content leaves them whole, so the driver
+    gets one content a language. Languages come by their number of labelled rows, the largest first. Rows with a
+    null language or without text are ignored; no such rows, no languages. The hash is a property of the text, so
+    the sample does not depend on partitioning, and copies of a text count once.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    usable = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
     # Hashes alone are shuffled, each text's once a task.
-    hashes = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n"))
-    sizes = hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
-    counts, texts = {r["lang"]: r["n"] for r in sizes}, {r["lang"]: r["texts"] for r in sizes}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    # A share of each language's texts that holds ``rows`` of them all but surely; whole small languages.
-    shares = {lang: min(1.0, (2.0 * rows + 30.0) / n) for lang, n in sorted(texts.items())}
-    place = F.pmod("h", F.lit(1 << 30))
-    hashed = usable.select("lang", F.substring("text", 1, chars).alias("piece"), F.xxhash64("text").alias("h"))
-    by_lang: dict[str, list[tuple[int, int, str]]] = {}
-    while shares:
-        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-        picked = hashed.filter(place / float(1 << 30) < share[F.col("lang")]).select("lang", place.alias("place"), "h", "piece").distinct()
-        by_lang |= {lang: [] for lang in shares}
-        for r in picked.collect():
-            by_lang[r["lang"]].append((r["place"], r["h"], r["piece"]))
+    hashes = usable.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    sizes = write_out(hashes.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")), "languages")
+    place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    wanted = sizes.select(F.col("lang").alias("w_lang"), "n", "texts", F.least(F.lit(1.0), F.lit(1.2 * rows + 100.0) / F.col("texts")).alias("share"))
+    fields = T.StructType([T.StructField("rank", T.LongType()), T.StructField("content", T.BinaryType())])
+
+    def gather(key: tuple, found: pa.Table) -> pa.Table:
+        texts = sorted(zip((found.column("h").to_numpy() % (1 << 30)).tolist(), found.column("h").to_pylist(), found.column("text").to_pylist(), strict=True))
+        out, size, before = [], 0, None
+        for _, h, text in texts:
+            if h == before or len(out) >= rows:
+                continue
+            before, piece = h, normal(text)
+            if out and size + len(piece) > letters:
+                continue
+            out.append(piece)
+            size += len(piece)
+        # The last bytes of a dictionary are the nearest ones; shuffled by hash no source dominates an end.
+        return pa.table({"lang": pa.array([key[0].as_py()]), "rank": pa.array([found.column("n")[0].as_py()]), "content": pa.array(["".join(out).encode()], pa.binary())})
+
+    contents: dict[str, tuple[int, bytes]] = {}
+    ship(labelled.sparkSession)
+    while True:
+        # A share of each language's texts that holds ``rows`` of them all but surely; whole small languages.
+        joined = usable.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, F.col("lang") == F.col("w_lang")).filter((F.col("share") >= 1) | (place < F.col("share")))
+        taken = joined.groupBy("lang", "h").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("texts").alias("texts"), F.first("share").alias("share"))
+        taken = write_out(taken, "language-samples")
+        for r in taken.select("lang", "h", "text", "n").groupBy("lang").applyInArrow(gather, T.StructType([T.StructField("lang", T.StringType()), *fields.fields])).collect():
+            contents[r["lang"]] = (r["rank"], bytes(r["content"]))
         # Should chance have left too few of a language, more of it is read.
-        shares = {lang: min(1.0, 4 * s) for lang, s in shares.items() if s < 1.0 and len(by_lang[lang]) < min(rows, texts[lang])}
-    # The last bytes of a dictionary are the nearest ones; shuffled by hash no source dominates an end.
-    by_rows = sorted(by_lang, key=lambda lang: (-counts[lang], lang))
-    return {lang: "".join(normal(p) for _, _, p in sorted(by_lang[lang])[:rows]).encode() for lang in by_rows if by_lang[lang]}
+        got = taken.groupBy("lang").agg(F.count("*").alias("got")).withColumnRenamed("lang", "g_lang")
+        short = wanted.join(got, F.col("w_lang") == F.col("g_lang"), "left").filter((F.col("share") < 1) & (F.coalesce("got", F.lit(0)) < F.least(F.lit(rows), F.col("texts"))))
+        short = write_out(short.select("w_lang", "n", "texts", F.least(F.lit(1.0), 4 * F.col("share")).alias("share")), "languages")
+        if short.isEmpty():
+            break
+        wanted = short
+    return {lang: content for lang, (_, content) in sorted(contents.items(), key=lambda item: (-item[1][0], item[0]))}
 
 
 class Classifier:
@@ -134,14 +147,17 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with the columns of ``docs``; learned from those of them that aren't held out."""
-    added = set(FIELDS.names)
-    renamed = docs.select(*[F.col(quoted(c)).alias(f"own_{c}" if c in added else c) for c in docs.columns])
-    kept = identify(renamed, learn(training_rows(docs))).filter(~F.col("rejected"))
-    return kept.select(*[F.col(quoted(f"own_{c}" if c in added else c)).alias(c) for c in docs.columns])
+    """The documents that aren't rejected, with the columns of ``docs``; learned from those of them that aren't held out.
+
+    Null, empty and letterless texts are rejected and go, and so does every document if none has a language. Repeated
+    rows are judged alike; no column can clash; an empty table gives an empty one.
+    """
+    renamed, back, place = by_position(docs)
+    return back(identify(renamed, learn(training_rows(docs)), text_col=place("text")).filter(~F.col("rejected")))
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and margin and rejected."""
+    """The contract's columns, and margin and rejected; nulls, empty and long texts, ties and repeated rows as in
+    ``identify``. A null doc_id is not held out, and teaches nothing."""
     found = identify(docs.select("doc_id", "text"), learn(training_rows(docs)))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "rejected")

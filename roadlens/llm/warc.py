@@ -1,6 +1,6 @@
 """Web archives with a Zstandard dictionary of their own.
 
-Each archive begins with a skippable frame that holds a dictionary, built from the archive's own records; every
+Each archive begins with a skippable frame that holds a dictionary, built from all of the archive's own records; every
 record after it is a frame by itself, so that any record can be read given its place and the dictionary.
 Payloads that were archived before become revisit records.
 
@@ -12,6 +12,7 @@ it are the header of a skippable frame of one byte, which takes the line feed in
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import re
 import struct
@@ -19,11 +20,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import fresh_path, ship
+from roadlens.llm.common import fresh_path, join_groups, ship, write_out
 
 #: Frame types of the format.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -31,11 +33,13 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 LINE_FEED_FRAME = struct.pack("<II", 0x184D2A50, 1)
 
 DICTIONARY_BYTES = 64 << 10
-#: Records read before the dictionary is built: the sample, held in memory.
-TRAINING_BYTES = 1 << 20
+#: Bytes of records after which an archive is closed and the next one begins: what a task holds in memory. A record
+#: is never split, so a larger one is an archive by itself.
+ARCHIVE_BYTES = 32 << 20
 LEVEL = 6
 URN = "urn:roadlens:page:"
-DATE = "2024-01-01T00:00:00Z"
+#: Repeated payloads that are broadcast, by digest; beyond that payloads are shuffled to them.
+BROADCAST_PAYLOADS = 200_000
 
 RECORDS = T.StructType(
     [
@@ -53,14 +57,19 @@ RECORDS = T.StructType(
 def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, original: of equal payloads of ``min_bytes`` or more the smallest page_id, else null.
 
-    The least id of a payload is a map-side minimum over its digest and length, so a payload that a third of
-    all pages share costs a row a task; the join to it is one that adaptive execution can split.
+    The least id of a payload is a map-side minimum over its digest and length. Payloads stay where they are:
+    only the repeated ones' digests come to them, if their number is within BROADCAST_PAYLOADS; otherwise those of
+    a large share of the pages do, which are few, and the rest is a join of digests that can spill.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     keyed = rows.select("*", F.sha1("payload").alias("digest"), F.length("payload").alias("size"))
     least = keyed.filter(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    repeated = least.filter("n > 1").select(F.col("digest").alias("o_digest"), F.col("size").alias("o_size"), "original")
-    joined = keyed.join(repeated.hint("shuffle_hash"), (F.col("digest") == F.col("o_digest")) & (F.col("size") == F.col("o_size")), "left")
+    repeated = write_out(least.filter("n > 1"), "repeated-payloads")
+    if repeated.count() <= BROADCAST_PAYLOADS:
+        joined = keyed.join(F.broadcast(repeated.drop("n")), ["digest", "size"], "left")
+    else:
+        known = join_groups(keyed, repeated, ["digest", "size"], "n")
+        joined = known.unionByName(keyed.join(repeated.select("digest", "size"), ["digest", "size"], "left_anti").withColumn("original", F.lit(None).cast("long")))
     return joined.select("page_id", "url", "payload", "original")
 
 
@@ -68,8 +77,16 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, original: int | None) -> bytes:
-    """One record: an HTTP response with its payload, or, if ``original`` is another page, its head only."""
+def information(name: str, date: str) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: roadlens\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:roadlens:archive:{name}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, original: int | None, date: str, name: str = "") -> bytes:
+    """One record: an HTTP response with its payload, or, if ``original`` is another page, its head only. ``name``
+    tells a record without page_id from others."""
     revisit = original is not None and original != page_id
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -77,8 +94,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, original: int |
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <{URN}{'' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <{f'urn:roadlens:unnamed:{name}' if page_id is None else f'{URN}{page_id}'}>",
+        f"WARC-Date: {date}",
         *([] if url is None else [f"WARC-Target-URI: {_uri(url)}"]),
         f"WARC-Payload-Digest: sha1:{digest}",
         *([f"WARC-Refers-To: <{URN}{original}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
@@ -88,10 +105,13 @@ def record(page_id: int | None, url: str | None, payload: bytes, original: int |
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple:
-    """The columns of RECORDS from a record; a response's payload is held against its length and digest."""
+def parse(data: bytes) -> tuple | None:
+    """The columns of RECORDS from a record, None from one about the archive; a response's payload is held against
+    its length and digest."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    if fields["WARC-Type"] == "warcinfo":
+        return None
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
@@ -99,7 +119,7 @@ def parse(data: bytes) -> tuple:
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    number = lambda name: int(x) if (x := fields.get(name, "")[1 + len(URN) : -1]) else None
+    number = lambda name: int(x[1 + len(URN) : -1]) if (x := fields.get(name, "")).startswith(f"<{URN}") else None
     return number("WARC-Record-ID"), fields.get("WARC-Target-URI"), size, digest, kind, number("WARC-Refers-To"), payload if kind == "response" else None
 
 
@@ -113,27 +133,15 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
         return b"".join(records)[-size:]
 
 
-def compressed(records: Iterator[bytes], training_bytes: int = TRAINING_BYTES) -> Iterator[bytes]:
-    """The frames of one archive, the dictionary's first. Holds ``training_bytes`` of records at a time."""
-    records = iter(records)
-    first: list[bytes] = []
-    held = 0
-    for r in records:
-        first.append(r)
-        held += len(r)
-        if held >= training_bytes:
-            break
-    if not first:
-        return
-    trained = build_dictionary(first)
-    yield struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained
+def compressed(records: list[bytes]) -> list[bytes]:
+    """The frames of one archive, the dictionary's first, which is built from all of the records."""
+    if not records:
+        return []
+    trained = build_dictionary(records)
     data = zstandard.ZstdCompressionDict(trained)
     data.precompute_compress(level=LEVEL)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=True)
-    for r in first:
-        yield compressor.compress(r)
-    for r in records:
-        yield compressor.compress(r)
+    return [struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained, *map(compressor.compress, records)]
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -158,35 +166,41 @@ def frames(data: bytes) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Writes ``pages`` (page_id, url, html) to new archives in ``path``, one for each task that has rows.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> None:
+    """Writes ``pages`` (page_id, url, html) to new archives in ``path``, each of about ``archive_bytes`` of records.
 
     Null html is an empty payload, null ids and addresses are left out of the record. Rows that repeat the
     smallest page_id of a payload are all responses. An empty table gives no archive. Other columns are ignored.
+    ``date`` (now, if not given) is that of all records.
     """
-
     ship(pages.sparkSession)
+    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def records() -> Iterator[bytes]:
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield record(*row)
-
-        out: list[bytes] = []
-        held = 0
-        for frame in compressed(records()):
-            out.append(frame + LINE_FEED_FRAME)
-            held += len(frame)
-            if held > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-                out, held = [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
-
-    written = with_originals(pages, min_bytes).mapInArrow(run, T.StructType([T.StructField("frame", T.BinaryType())]))
-    # The bytes pass through a string column as they are.
-    written.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n").text(path)
+        part, n, archives = TaskContext.get().partitionId(), 0, 0
+        held: list[bytes] = []
+        size = 0
+
+        def archive() -> pa.RecordBatch:
+            out = b"".join([*compressed([information(f"{part}-{archives}", date), *held]), LINE_FEED_FRAME])
+            return pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["archive"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made = record(*row, date, f"{part}-{n}")
+                n += 1
+                if held and size + len(made) > archive_bytes:
+                    yield archive()
+                    held, size, archives = [], 0, archives + 1
+                held.append(made)
+                size += len(made)
+        if held:
+            yield archive()
+
+    written = with_originals(pages, min_bytes).mapInArrow(run, T.StructType([T.StructField("archive", T.BinaryType())]))
+    # The bytes pass through a string column as they are; each row is a file.
+    lines = written.select(F.col("archive").cast("string").alias("value")).write.option("compression", "none").option("lineSep", "\n")
+    lines.option("maxRecordsPerFile", 1).text(path)
     _rename(pages.sparkSession, path)
 
 
@@ -202,7 +216,7 @@ def _rename(spark: SparkSession, path: str) -> None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in ``path``, with the columns of RECORDS; an archive is read by one task.
+    """The records of the pages in all archives in ``path``, with the columns of RECORDS; an archive is read by one task.
 
     Payload lengths and digests are those the record tells, held against the payload where it is there.
     """
@@ -216,7 +230,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows: list[tuple] = []
                 held = 0
                 for data in frames(content.as_py()):
-                    rows.append(parse(data))
+                    if (row := parse(data)) is None:
+                        continue
+                    rows.append(row)
                     held += len(data)
                     if held > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORDS.names)
@@ -229,7 +245,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10(pages: DataFrame) -> DataFrame:
-    """Writes the archives in the shared folder, reads them back, and returns the contract's columns."""
+    """Writes the archives in the shared folder, reads them back, and returns the contract's columns.
+
+    A null html is an empty payload; a row without page_id, repeated rows and ties are those of ``write_archives``; an
+    empty table gives no rows; payloads are written whole, however long; other columns are ignored.
+    """
     path = fresh_path(pages.sparkSession, "archives")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -95,6 +95,7 @@ def test_language_id_is_undecided_without_letters(spark):
 def test_language_sample_is_of_distinct_texts(spark):
     rows = spark.sql("select if(id < 40000, 'copied text', concat('word', id, ' x')) text, if(id < 40000 or id % 2 = 0, 'aa', 'bb') lang from range(40400)")
     learned = langid.learn(rows, rows=20)
+    assert langid.learn(rows.limit(0)) == {} and len(langid.learn(rows, rows=20, letters=1)["bb"].split()) == 2
     assert list(learned) == ["aa", "bb"]
     assert [len(c.split(b" word")) - 1 + (b"copied" in c) for c in learned.values()] == [20, 20]
     # Copies change no language's sample, and so doesn't the number of rows.
@@ -533,16 +534,33 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_archives_roll_over_and_many_repeats_are_shuffled(spark, monkeypatch):
+    pages = spark.range(400).selectExpr("id page_id", "concat('http://h/', id) url", "repeat(concat('page ', case when id < 150 then 0 when id % 2 = 0 then id else id div 4 end, ' '), 50) html", "1 payload", "2 digest")
+    expected = {(r["page_id"], r["original"]) for r in warc.with_originals(pages).collect()}
+    monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", 0)
+    assert {(r["page_id"], r["original"]) for r in warc.with_originals(pages).collect()} == expected and (149, 0) in expected
+    path = fresh_path(spark, "test-archives")
+    warc.write_archives(pages.coalesce(2), path, archive_bytes=20_000, date="2020-02-02T00:00:00Z")
+    files = spark.read.format("binaryFile").load(path).collect()
+    assert len(files) > 5
+    assert all(sum(map(len, warc.frames(f["content"]))) < 21_000 for f in files)
+    records = [r for f in files for r in warc.frames(f["content"])]
+    assert all(b"WARC-Date: 2020-02-02T00:00:00Z" in r for r in records) and len({r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records}) == len(records)
+    got = {(r["page_id"], r["refers_to"]) for r in warc.read_archives(spark, path).collect()}
+    assert got == {(i, o if o != i else None) for i, o in expected}
+
+
 def test_small_payloads_can_be_left_alone(spark):
     pages = spark.createDataFrame([(1, None, "ab"), (2, None, "ab")], "page_id long, url string, html string")
     assert [r["original"] for r in warc.with_originals(pages, 3).collect()] == [None, None]
 
 
 def test_records_are_read_one_by_one():
-    frames = list(warc.compressed(warc.record(i, None, b"page %d " % i * 40, None) for i in range(50)))
+    date = "2024-01-01T00:00:00Z"
+    frames = warc.compressed([warc.information("a", date), *(warc.record(i, None, b"page %d " % i * 40, None, date) for i in range(50))])
     joined = b"".join(f + warc.LINE_FEED_FRAME + b"\n" for f in frames)
-    assert [warc.parse(r)[0] for r in warc.frames(joined + joined)] == [*range(50), *range(50)]
-    assert list(warc.frames(b"")) == [] and list(warc.compressed(iter([]))) == []
+    assert [r and r[0] for r in map(warc.parse, warc.frames(joined + joined))] == [None, *range(50)] * 2
+    assert list(warc.frames(b"")) == [] and warc.compressed([]) == []
     with pytest.raises(ValueError):
         list(warc.frames(frames[0] + frames[1][:-3]))
 
