@@ -11,30 +11,33 @@ from __future__ import annotations
 import operator
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from roadlens.llm.common import quoted, with_text_columns
-
-#: Words that a text is called toxic for.
-INSULTS = frozenset("clown disgusting idiot loser moron pathetic scum stupid trash worthless".split())
+from roadlens.llm.common import by_position, ship, with_text_columns, write_out
 
 WORD = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]")
 PLAIN_MARKS = frozenset(".,;:!?'\"()-")
-#: Sampled documents that the prefixes and the scorer are learned from, of distinct texts, the first by their hash.
+#: Sampled documents that the scorer is trained on, of distinct texts, the first by their hash, and features that
+#: they have at most together.
 SAMPLE_DOCS = 10_000
-#: Letters of a word's beginning, shares of a text's words, and what a beginning needs to mark toxic texts.
+SAMPLE_FEATURES = 4_000_000
+#: Letters of a word's beginning (shorter words are taken whole), shares of a text's words (0: it occurs), and what a
+#: beginning needs to mark toxic texts: labelled texts that reach the share, and how many of them are toxic.
 PREFIX = 5
-PREFIX_RATES = (0.003, 0.006, 0.01, 0.015, 0.02, 0.03)
+PREFIX_RATES = (0.0, 0.003, 0.006, 0.01, 0.015, 0.02, 0.03)
 PREFIX_SUPPORT = 8
-PREFIX_PRECISION = 0.85
+PREFIX_PRECISION = 0.9
 BUCKETS = 1 << 16
 EPOCHS = 4
 EM_ROUNDS = 60
@@ -49,7 +52,7 @@ GOOD, NONE, BAD = 1, 0, -1
 
 # Heuristics: each looks at the whole text's statistics and votes.
 
-NAMES = ("insults", "prefixes", "marks", "capitals", "repeated_words", "repeated_lines", "short_lines", "word_length", "sentences")
+NAMES = ("prefixes", "marks", "capitals", "repeated_words", "repeated_lines", "short_lines", "word_length", "sentences")
 
 
 class Analysis:
@@ -61,7 +64,6 @@ class Analysis:
         lines = [x for x in text.split("\n") if x.strip()]
         self.words, self.marks = Counter(lower), Counter(marks)
         count, n = len(words), max(1, len(words))
-        insults = any(w in self.words for w in INSULTS)
         odd = sum(c for m, c in self.marks.items() if m not in PLAIN_MARKS) / n
         capitals = sum(map(str.isupper, words)) / n
         doubled = sum(map(operator.eq, lower, lower[1:])) / n
@@ -70,9 +72,8 @@ class Analysis:
         length = sum(map(len, words)) / n
         stops = sum(self.marks[m] for m in ".?!") / n
         marked = bool(rules) and any(c / n >= rules[p] for p, c in prefix_counts(self.words, rules).items())
-        plain = 3.5 <= length <= 9 and 0.03 <= stops <= 0.3 and odd < 0.05 and capitals < 0.1 and doubled < 0.05 and bars < 0.05 and not insults and not marked
+        plain = 3.5 <= length <= 9 and 0.03 <= stops <= 0.3 and odd < 0.05 and capitals < 0.1 and doubled < 0.05 and bars < 0.05 and not marked
         self.votes = [
-            BAD if insults else NONE,
             BAD if marked else NONE,
             BAD if odd > 0.2 else NONE,
             BAD if capitals > 0.3 else NONE,
@@ -94,28 +95,38 @@ def prefix_counts(words: Counter, wanted: dict[str, float] | None = None) -> Cou
     return found
 
 
-def learn_prefixes(sample: list[tuple[str, bool]]) -> dict[str, float]:
-    """Word beginnings that mark toxic texts, with the least share of a text's words from which they do.
+REACHED = T.StructType([T.StructField("reached", T.ArrayType(T.StructType([T.StructField("prefix", T.StringType()), T.StructField("level", T.IntegerType())])))])
 
-    A beginning and share is taken if at least PREFIX_SUPPORT sampled texts reach it, and at least
-    PREFIX_PRECISION of them are labelled toxic; of several shares of a beginning the least.
-    """
-    bad: Counter = Counter()
-    seen: Counter = Counter()
-    for text, toxic in sample:
+
+def _reached() -> Callable[[list], list[list]]:
+    """Of each text the word beginnings with the greatest of PREFIX_RATES that they reach."""
+
+    def of(text: str) -> list[dict]:
         words = Counter(WORD.findall(text.lower()))
         n = max(1, sum(words.values()))
-        for p, c in prefix_counts(words).items():
-            if len(p) == PREFIX and c / n >= PREFIX_RATES[0]:
-                reached = [(p, r) for r in PREFIX_RATES if c / n >= r]
-                seen.update(reached)
-                if toxic:
-                    bad.update(reached)
-    rules: dict[str, float] = {}
-    for (p, r), k in bad.items():
-        if k >= PREFIX_SUPPORT and k >= PREFIX_PRECISION * seen[p, r]:
-            rules[p] = min(r, rules.get(p, 1.0))
-    return rules
+        return [{"prefix": p, "level": bisect_right(PREFIX_RATES, c / n) - 1} for p, c in prefix_counts(words).items()]
+
+    return lambda texts: [[of(t or "") for t in texts]]
+
+
+def learn_prefixes(labelled: DataFrame) -> dict[str, float]:
+    """Word beginnings that mark toxic texts of ``labelled`` (text, toxic: int), with the least share of a text's words
+    from which they do.
+
+    A beginning and share is taken if at least PREFIX_SUPPORT texts reach it, and at least PREFIX_PRECISION of
+    them are toxic; of several shares of a beginning the least. Copies of a text count once (toxic, if one is
+    labelled so). All labelled texts are counted, where they are; the driver gets the beginnings that are taken.
+    """
+    texts = labelled.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = with_text_columns(texts.select("text", "toxic"), "text", REACHED, _reached).select("toxic", F.explode("reached").alias("r"))
+    counts = rows.groupBy("r.prefix", "r.level").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    # Who reaches a share reaches the smaller ones: a row for each of PREFIX_RATES a beginning at most.
+    above = W.partitionBy("prefix").orderBy(F.desc("level"))
+    # The same texts reach all shares down to the next one that a text has as its greatest.
+    down = F.coalesce(F.lead("level").over(above) + 1, F.lit(0))
+    summed = counts.select("prefix", down.alias("level"), F.sum("n").over(above).alias("n"), F.sum("bad").over(above).alias("bad"))
+    taken = summed.filter((F.col("bad") >= PREFIX_SUPPORT) & (F.col("bad") >= PREFIX_PRECISION * F.col("n")))
+    return {r["prefix"]: PREFIX_RATES[r["level"]] for r in taken.groupBy("prefix").agg(F.min("level").alias("level")).collect()}
 
 
 def votes(text: str, rules: dict[str, float] | None = None) -> list[int]:
@@ -202,104 +213,136 @@ def train(sample: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
     return w
 
 
-VOTES = T.StructType([T.StructField("pattern", T.IntegerType())])
-SCORES = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("p_good", T.DoubleType()), T.StructField("p_label", T.DoubleType())])
-
-
-def _voter(rules: dict[str, float]) -> Callable[[], Callable[[list], list[list]]]:
-    return lambda: lambda texts: [[pattern_of(votes(t or "", rules)) for t in texts]]
+class Model(NamedTuple):
+    rules: dict[str, float]
+    labels: LabelModel
+    weights: np.ndarray
 
 
-FEATURES = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType())), T.StructField("pattern", T.IntegerType())])
+#: The votes, and the features as 16-bit buckets and 16-bit floats: a few bytes a distinct word.
+FEATURES = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("weight", T.BinaryType())])
+SCORES = T.StructType([T.StructField("pattern", T.IntegerType()), T.StructField("p_good", T.DoubleType()), T.StructField("p_label", T.DoubleType())])
 
 
 def _featurer(rules: dict[str, float]) -> Callable[[], Callable[[list], list[list]]]:
     def compute(texts: list) -> list[list]:
         found = [Analysis(t or "", rules) for t in texts]
         made = [features(a) for a in found]
-        return [[at.astype(np.int32) for at, _ in made], [w.astype(np.float32) for _, w in made], [pattern_of(a.votes) for a in found]]
+        return [[pattern_of(a.votes) for a in found], [at.astype("<u2").tobytes() for at, _ in made], [w.astype("<f2").tobytes() for _, w in made]]
 
     return lambda: compute
 
 
-class Model(NamedTuple):
-    rules: dict[str, float]
-    labels: LabelModel
-    weights: np.ndarray
+def unpacked(at: bytes, weight: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(weight, "<f2").astype(float)
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """The rows that have a text, with its hash as __h."""
-    return docs.filter(F.length("text") > 0).withColumn("__h", F.xxhash64("text"))
+def featured(docs: DataFrame, rules: dict[str, float]) -> DataFrame:
+    """doc_id, h (hash of the text, null without one) and FEATURES of every document, written: texts are read once for
+    the votes, the training and the scores."""
+    rows = docs.select("doc_id", F.when(F.length("text") > 0, F.xxhash64("text")).alias("h"), F.col("text").cast("string").alias("text"))
+    return write_out(with_text_columns(rows, "text", FEATURES, _featurer(rules)).drop("text"), "features")
 
 
-def picked(docs: DataFrame, sample_docs: int) -> DataFrame:
-    """A few more distinct texts than ``sample_docs`` of rows with __h: the first ones by it.
+def fit(found: DataFrame, rules: dict[str, float], sample_docs: int = SAMPLE_DOCS, sample_features: int = SAMPLE_FEATURES) -> Model:
+    """The label model over the vote patterns of all documents, and the scorer, from a bounded sample of ``featured``.
 
-    The hash is made before joins, so that only the sample's texts are shuffled. Of a text's copies one stays, with the greatest values of the other columns.
+    The patterns are 3 ** 8 at most. Sampled are distinct texts, the first by their hash; of a text's copies one.
     """
-    n = docs.select("__h").distinct().count()
+    labels = LabelModel({r["pattern"]: r["n"] for r in found.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
+    texts = found.filter(F.col("h").isNotNull())
+    n = texts.select("h").distinct().count()
     share = min(1.0, (1.1 * sample_docs + 50.0) / n) if n else 1.0
-    taken = docs.filter(F.pmod("__h", F.lit(1 << 30)) / float(1 << 30) < share)
-    return taken.groupBy("__h").agg(F.first("text").alias("text"), *[F.max(c).alias(c) for c in docs.columns if c not in ("text", "__h")])
+    taken = texts.filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).groupBy("h").agg(*[F.first(c).alias(c) for c in FEATURES.names])
+    # A few rows more than ``sample_docs``: one task sums their features up.
+    order = W.orderBy("h")
+    summed = taken.select("*", F.row_number().over(order).alias("nth"), F.sum(F.length("at") / 2).over(order).alias("so_far"))
+    table = summed.filter((F.col("nth") <= sample_docs) & ((F.col("so_far") <= sample_features) | (F.col("nth") == 1))).orderBy("h").toArrow()
+    rows = [unpacked(a.as_py(), w.as_py()) for a, w in zip(table["at"], table["weight"], strict=True)]
+    return Model(rules, labels, train(rows, labels.good(table["pattern"].to_numpy())))
+
+
+def rules_of(docs: DataFrame, labels: DataFrame | None) -> dict[str, float]:
+    """The prefixes learned from ``labels`` (doc_id, toxic), which may name some documents toxic. Null labels count as
+    none; a document with several labels is toxic if one says so; labels of no document are ignored."""
+    if labels is None:
+        return {}
+    given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return learn_prefixes(texts.join(given, F.col("doc_id") == F.col("l_doc")).select("text", "toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The prefixes, the label model over the vote patterns of all documents, and the scorer.
 
-    ``labels`` (doc_id, toxic) may name some documents toxic: the prefixes are learned from a bounded sample
-    of these rows, and are one more heuristic, whose accuracy is estimated like that of the others. The counts
-    have a row for each of 3 ** 9 patterns at most. Null texts count as empty ones, null labels as none.
+    The prefixes are one more heuristic, whose accuracy is estimated like that of the others. Null texts count as
+    empty ones; empty texts vote but are not sampled; an empty table gives a model that knows nothing.
     """
-    texts = docs.select("doc_id", "text")
-    rules: dict[str, float] = {}
-    if labels is not None:
-        given = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("__doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        rows = picked(hashed(texts).join(given, F.col("doc_id") == F.col("__doc")).select("text", "toxic", "__h"), sample_docs).orderBy("__h").limit(sample_docs).collect()
-        rules = learn_prefixes([(r["text"], r["toxic"] > 0) for r in rows])
-    counts = {r["pattern"]: r["n"] for r in with_text_columns(texts.select("text"), "text", VOTES, _voter(rules)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
-    model = LabelModel(counts)
-    # Features are made where the texts are; arrays of them are what the driver gets.
-    sample = with_text_columns(picked(hashed(texts.select("text")), sample_docs), "text", FEATURES, _featurer(rules))
-    table = sample.select("__h", *FEATURES.names).orderBy("__h").limit(sample_docs).toArrow()
-    rows = [(a.values.to_numpy(), w.values.to_numpy()) for a, w in zip(table["at"], table["weight"], strict=True)]
-    return Model(rules, model, train(rows, model.good(table["pattern"].to_numpy())))
+    rules = rules_of(docs, labels)
+    return fit(featured(docs, rules), rules, sample_docs)
+
+
+def _scorer(model: Model) -> Callable[[list[int], list[tuple[np.ndarray, np.ndarray]]], list[list]]:
+    w, labels = model.weights, model.labels
+
+    def compute(codes: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> list[list]:
+        scores = [float(1 / (1 + np.exp(-np.clip(w[at] @ weight + w[BUCKETS], -50, 50)))) for at, weight in found]
+        return [codes, scores, labels.good(np.array(codes, np.int64)).tolist()]
+
+    return compute
+
+
+def _packed(model: Model) -> Callable[[], Model]:
+    data = zlib.compress(model.weights.astype(np.float32).tobytes())
+    return lambda: model._replace(weights=np.frombuffer(zlib.decompress(data), np.float32).astype(float))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with pattern (of votes), p_good (the scorer's) and p_label (the label model's probability).
 
-    Null texts count as empty ones. Every row gives a row; clashing columns are replaced.
+    Null texts count as empty ones. Every row gives a row, repeated ones the same values; an empty table gives none;
+    texts are read whole, however long; clashing columns are replaced.
     """
-    packed = zlib.compress(model.weights.astype(np.float32).tobytes())
-    rules, labels = model.rules, model.labels
+    unpack, rules = _packed(model), model.rules
+    light = model._replace(weights=np.empty(0))
 
     def make() -> Callable[[list], list[list]]:
-        w = np.frombuffer(zlib.decompress(packed), np.float32).astype(float)
+        compute, feature = _scorer(light._replace(weights=unpack().weights)), _featurer(rules)()
 
-        def compute(texts: list) -> list[list]:
-            codes, scores = [], []
-            for t in texts:
-                found = Analysis(t or "", rules)
-                at, weight = features(found)
-                codes.append(pattern_of(found.votes))
-                scores.append(float(1 / (1 + np.exp(-np.clip(w[at] @ weight + w[BUCKETS], -50, 50)))))
-            return [codes, scores, labels.good(np.array(codes)).tolist()]
+        def run(texts: list) -> list[list]:
+            codes, at, weight = feature(texts)
+            return compute(codes, [unpacked(a, w) for a, w in zip(at, weight, strict=True)])
 
-        return compute
+        return run
 
     return with_text_columns(docs, text_col, SCORES, make)
 
 
+def score_features(found: DataFrame, model: Model) -> DataFrame:
+    """doc_id, pattern, p_good, p_label from ``featured``: what ``score`` gives, without the texts."""
+    ship(found.sparkSession)
+    unpack = _packed(model)
+    out = T.StructType([T.StructField("doc_id", found.schema["doc_id"].dataType), *SCORES.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = _scorer(unpack())
+        for batch in batches:
+            rows = [unpacked(a.as_py(), w.as_py()) for a, w in zip(batch.column("at"), batch.column("weight"), strict=True)]
+            codes, good, label = compute(batch.column("pattern").to_pylist(), rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.int32()), pa.array(good, pa.float64()), pa.array(label, pa.float64())], names=out.names)
+
+    return found.mapInArrow(run, out)
+
+
 def keep_good(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents the scorer takes for good, with the columns of ``docs``."""
-    added = set(SCORES.names)
-    renamed = docs.select(*[F.col(quoted(c)).alias(f"own_{c}" if c in added else c) for c in docs.columns])
-    kept = score(renamed, learn(docs, labels)).filter(F.col("p_good") >= threshold)
-    return kept.select(*[F.col(quoted(f"own_{c}" if c in added else c)).alias(c) for c in docs.columns])
+    """The documents the scorer takes for good, with the columns of ``docs``; nulls and repeats as in ``score``."""
+    renamed, back, place = by_position(docs)
+    return back(score(renamed, learn(docs, labels), place("text")).filter(F.col("p_good") >= threshold))
 
 
 def op8(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """doc_id, p_good, p_label, kept of every document."""
-    found = score(docs.select("doc_id", "text"), learn(docs, labels))
-    return found.select("doc_id", "p_good", "p_label", (F.col("p_good") >= THRESHOLD).alias("kept"))
+    """doc_id, p_good, p_label, kept of every document; nulls, empty and long texts, repeats and ties as in ``score``."""
+    rules = rules_of(docs, labels)
+    found = featured(docs, rules)
+    scored = score_features(found, fit(found, rules))
+    return scored.select("doc_id", "p_good", "p_label", (F.col("p_good") >= THRESHOLD).alias("kept"))
