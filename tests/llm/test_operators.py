@@ -591,6 +591,63 @@ def test_repeated_passages_are_found_and_clean_documents_left(spark):
     assert all(cleaned[i] == texts[i] for i in range(40, 120, 2))
 
 
+def edges(data, gear):
+    ends = substrings.boundaries(data, gear).tolist()
+    return [0, *ends[:-1]], ends
+
+
+def plain_repeats(texts_):
+    """Every unit of every document looked up among all of them, one by one."""
+    gear = substrings.gear_table()
+    spans = [list(zip(*edges(t.encode(), gear), strict=True)) for t in texts_]
+    where = {}
+    for i, cut in enumerate(spans):
+        for (a, _), (_, e) in zip(cut, cut[1:], strict=False):
+            where.setdefault(texts_[i].encode()[a:e], []).append((i, a))
+    out = set()
+    for i, cut in enumerate(spans):
+        found = []
+        for (a, m), (_, e) in zip(cut, cut[1:], strict=False):
+            places = where[texts_[i].encode()[a:e]]
+            if len(places) > 1:
+                found.append((a, m, e, 2 if min(p for p in places if p[0] == i) < (i, a) else 0, min(places)[0]))
+        out |= {(i, *part) for part in substrings.passages(i, found, substrings.RUN)}
+    return out
+
+
+def test_repeats_are_those_of_the_plain_search(spark):
+    dice = random.Random(31)
+    pool = [sentence(dice, n) for n in (8, 12, 30, 50, 60, 70, 90)] + ["na " * 300, "x" * 700, "é" * 400]
+    texts_ = []
+    for _ in range(60):
+        texts_.append(" ".join(dice.choice(pool) if dice.random() < 0.4 else sentence(dice, dice.randint(1, 40)) for _ in range(dice.randint(1, 8))))
+    got = [tuple(r[c] for c in ("doc_id", "start_byte", "end_byte", "n_chunks", "first_doc", "is_first")) for r in substrings.repeats(documents(spark, texts_)).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_repeats(texts_)
+
+
+def test_repeats_within_a_document_and_periodic_passages(spark):
+    dice = random.Random(33)
+    p, q = sentence(dice, 80), sentence(dice, 80)
+    rows = documents(spark, [f"{p} {q} {sentence(dice, 30)} {p}", "x" * 5000 + sentence(dice, 50), sentence(dice, 50) + "x" * 3000])
+    found = substrings.repeats(rows).collect()
+    cleaned = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(rows).collect()}
+    assert any(r["doc_id"] == 0 and not r["is_first"] and r["first_doc"] == 0 for r in found)
+    assert cleaned[0].startswith(f"{p} {q}") and p[60:-60] not in cleaned[0][len(p) :]
+    assert cleaned[1].count("x") < 1000 and cleaned[2].count("x") < 1000
+
+
+def test_texts_that_share_an_id_are_cut_by_their_own_places(spark):
+    dice = random.Random(35)
+    p = sentence(dice, 90)
+    a, b, c = f"{p} {sentence(dice, 20)}", f"{sentence(dice, 60)} {p} {sentence(dice, 9)}", sentence(dice, 300)
+    rows = spark.createDataFrame([(1, a), (2, b), (2, c), (2, b), (None, b), (3, None), (4, "")], "doc_id long, text string")
+    got = substrings.remove_repeats(rows.withColumns({n: F.lit(7) for n in ("c_who", "c_h", "_c_h", "c_cuts", "who", "start")}))
+    texts_ = sorted(((r["doc_id"] or 0, r["text"]) for r in got.collect()), key=str)
+    assert (2, c) in texts_ and (1, a) in texts_ and (3, None) in texts_ and (4, "") in texts_ and len(texts_) == 7
+    cut = [t for i, t in texts_ if i == 2 and t != c]
+    assert len(cut) == 2 and cut[0] == cut[1] and p[60:-60] not in cut[0] and cut[0][:40] == b[:40]
+
+
 def test_what_is_removed_stands_in_its_first_document(spark):
     dice = random.Random(12)
     line, passage, other = sentence(dice, 40), sentence(dice, 80), sentence(dice, 60)
@@ -603,8 +660,8 @@ def test_what_is_removed_stands_in_its_first_document(spark):
     cuts = {(r["doc_id"], r["start_byte"], r["end_byte"]) for r in substrings.repeats(documents(spark, held)).collect() if not r["is_first"]}
     stands, removed = set(), set()
     for i, t in enumerate(held):
-        for a, b, d in zip(*substrings.chunks(t.encode(), gear), strict=True):
-            (removed if any(i == j and s <= a and b <= e for j, s, e in cuts) else stands).add(d)
+        for a, b in zip(*edges(t.encode(), gear), strict=True):
+            (removed if any(i == j and s <= a and b <= e for j, s, e in cuts) else stands).add(t.encode()[a:b])
     assert removed and removed <= stands
     assert cleaned[0] == held[0] and cleaned[1] == held[1]
     assert passage[60:] in cleaned[2] and line[60:-60] not in cleaned[2]
@@ -615,16 +672,20 @@ def test_what_is_removed_stands_in_its_first_document(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=400), st.binary(max_size=60), st.integers(0, 400))
 def test_chunks_are_whole_and_resist_insertions(data, inserted, at):
+    """The plain rolling hash, one byte at a time, gives the same places."""
+    data = data[:at] + inserted + data[at:]
     gear = substrings.gear_table()
-    starts, ends, _ = substrings.chunks(data, gear)
-    assert b"".join(data[a:b] for a, b in zip(starts, ends, strict=True)) == data
-    # The plain rolling hash gives the same places.
-    h, plain = 0, []
+    h, plain, last = 0, [], -substrings.LEAST
     for i, b in enumerate(data):
         h = ((h << 1) + int(gear[b])) & 0xFFFF
-        if h < 65536 // substrings.MEAN:
+        if h < 65536 // substrings.MEAN and i + 1 - last >= substrings.LEAST:
+            last = i + 1
+            plain.append(last)
+        elif i + 1 - (plain[-1] if plain else 0) == substrings.MOST:
             plain.append(i + 1)
-    assert set(ends.tolist()) <= {*plain, len(data)}
+    if data and (not plain or plain[-1] != len(data)):
+        plain.append(len(data))
+    assert substrings.boundaries(data, gear).tolist() == plain
 
 
 # 8
