@@ -98,6 +98,23 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def keyed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with ids: the lines of an order that share a number are one."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("total_cyclists"))
+    label = F.concat(F.lpad((F.col("l_linenumber") + 5).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("l_linenumber") + 6).cast("string"), 2, "0"))
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").cast("int").alias("event_id"), label.alias("session_label"), "total_cyclists")
+
+
+def keyed_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements of these sessions with ids: a line's pair of directions, summed."""
+    start = F.col("l_suppkey") % 4
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("session_id"), start.alias("a"), ((start + 1 + F.col("l_partkey") % 3) % 4).alias("b"), F.col("l_quantity").cast("int").alias("n")
+    )
+    summed = rows.groupBy("session_id", "a", "b").agg(F.sum("n").cast("int").alias("count"))
+    return summed.select((F.col("session_id") * 16 + F.col("a") * 4 + F.col("b")).alias("id"), "session_id", direction(F.col("a")).alias("from_direction"), direction(F.col("b")).alias("to_direction"), "count")
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("id"), F.col("props").alias("data"), F.col("props").alias("metadata"), "event_type", "user_id")
 
@@ -119,6 +136,13 @@ SQL = {
       from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey, o_custkey, o_orderdate""",
     "mov": f"""select cast(l_orderkey as int) as event_id, {direction_sql("(l_suppkey % 4)")} as from_direction,
         {direction_sql("((l_suppkey % 4 + 1 + l_partkey % 3) % 4)")} as to_direction, cast(l_quantity as int) as cnt from lineitem""",
+    "kses": """select l_orderkey * 8 + l_linenumber as id, cast(l_orderkey as int) as event_id,
+        lpad(cast(5 + l_linenumber as varchar(2)), 2, '0') || '-' || lpad(cast(6 + l_linenumber as varchar(2)), 2, '0') as session_label,
+        cast(sum(cast(l_quantity as int)) as int) as total_cyclists from lineitem group by l_orderkey, l_linenumber""",
+    "kmov": f"""select session_id * 16 + a * 4 + b as id, session_id, {direction_sql("a")} as from_direction, {direction_sql("b")} as to_direction, cast(sum(n) as int) as count
+      from (select l_orderkey * 8 + l_linenumber as session_id, l_suppkey % 4 as a, (l_suppkey % 4 + 1 + l_partkey % 3) % 4 as b, cast(l_quantity as int) as n from lineitem) group by session_id, a, b""",
+    "rmr": """select cast(s_suppkey as int) as id, n_name as city, case when s_suppkey % 3 = 0 then 'true' else 'false' end as is_rmr
+      from supplier join nation on s_nationkey = n_nationkey""",
     "prof": "select cast(event_id as int) as id, props as data, props as metadata, event_type, user_id from events",
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,19 +78,28 @@ def json_text(document: Column, key: str) -> Column:
     return F.get_json_object(document, f"$.{key}")
 
 
+def _holds(value: Column, wanted: object) -> Column:
+    """Whether a variant holds ``wanted``, at any depth: objects by key, arrays by elements in any order."""
+    kind = F.schema_of_variant(value)
+    if isinstance(wanted, dict):
+        return reduce(operator.and_, [_holds(F.try_variant_get(value, f"$['{k}']", "variant"), v) for k, v in wanted.items()], F.startswith(kind, F.lit("OBJECT")))
+    if isinstance(wanted, (list, tuple)):
+        held = F.try_variant_get(value, "$", "array<variant>")
+        each = lambda w: F.exists(held, lambda e: F.coalesce(_holds(e, w), F.lit(False)))
+        return reduce(operator.and_, map(each, wanted), F.startswith(kind, F.lit("ARRAY")))
+    if wanted is None:
+        return F.is_variant_null(value)
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == wanted)
+    if isinstance(wanted, (int, float)):
+        return kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(value, "$", "double") == float(wanted))
+    return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == str(wanted))
+
+
 def json_contains(document: Column, **wanted: object) -> Column:
-    """Containment at the top level: each key is there with just this value (numbers by value, text as text)."""
-    held = F.lit(True)
-    for key, value in wanted.items():
-        found = F.get_json_object(document, f"$.{key}")
-        if isinstance(value, bool):
-            same = found == str(value).lower()
-        elif isinstance(value, (int, float)):
-            same = found.try_cast("double") == float(value)
-        else:
-            same = found == str(value)
-        held = held & F.coalesce(same, F.lit(False))
-    return held
+    """Whether an object has each key, with a value that holds the wanted one: numbers by value, text as text, truth
+    values and null as such, objects and arrays by what is in them. False for no document and for what is none."""
+    return F.coalesce(_holds(F.try_parse_json(document), wanted), F.lit(False))
 
 
 def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadlens import adapters as A
+from roadlens import ingest_queries  # noqa: F401 (registers its queries)
+from roadlens.catalogue import QUERIES, SQL, Query, register
 from roadlens.functions import scalars as S
 from roadlens.operators import constraints, counting, mortality, predicates, profiles
 from roadlens.plans.dims import CITIES, MODES, PREFIXES, city_name
@@ -18,23 +20,9 @@ from roadlens.plans.params import DeathFilter, EventFilter
 from roadlens.sources import counts as count_load
 from roadlens.sources import deaths as death_load
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 SPAN = DeathFilter(start_year=2015, end_year=2023)
 
 
-def register(sql: str | None = None, *tables: str) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = A.with_tables(sql, *tables) if tables else sql
-        return f
-
-    return keep
-
-
 def pct(part: str, whole: str) -> str:
     return f"case when {whole} > 0 then ((20000 * cast({part} as bigint) + {whole}) // (2 * {whole})) / 100.0::double else 0.0::double end"
 
@@ -161,15 +149,39 @@ _report("argmax_year", "select most_violent_year, most_violent_year_deaths from
 _report("trailing_five_years", "select last_5_years_total, last_5_years_average from (" + _stats_sql("true") + ")", lambda d: mortality.stats(d).select("last_5_years_total", "last_5_years_average"))
 
 
-# Nested reports: documents, which the flat forms above hold against SQL.
-
-for _name, _f in (
-    ("by_city_document", mortality.by_city_report),
-    ("by_transport_mode_document", mortality.by_transport_mode_report),
-    ("time_series_document", lambda d: mortality.time_series_report(d, SPAN)),
-    ("stats_document", mortality.stats_report),
-):
+# Nested reports: documents as a service answers them. SQL packs the flat forms, whose SQL is above.
+
+_DOCUMENTS = {
+    "by_city_document": (
+        mortality.by_city_report,
+        "select to_json({cities: list({city_code: city_code, city_name: city_name, total_deaths: total_deaths} order by rank), location_type: 'occurrence', "
+        "year: cast(null as int), total: coalesce(max(total), 0)})::varchar as json from flat",
+        _by_city_sql("codmunocor", None),
+    ),
+    "by_transport_mode_document": (
+        mortality.by_transport_mode_report,
+        "select to_json({transport_modes: list({mode: mode, cid10_codes: cid10_codes, total_deaths: total_deaths, percentage: percentage} order by rank), year: cast(null as int), "
+        "city_code: cast(null as int), location_type: 'occurrence', total: coalesce(max(total), 0)})::varchar as json from flat",
+        _by_mode_sql("true"),
+    ),
+    "time_series_document": (
+        lambda d: mortality.time_series_report(d, SPAN),
+        "select to_json({data: list({year: year, total_deaths: total_deaths} order by year), start_year: 2015, end_year: 2023, city_code: cast(null as int), transport_mode: cast(null as varchar), "
+        "location_type: 'occurrence', total: coalesce(max(total), 0), average_per_year: coalesce(max(average_per_year), 0.0::double)})::varchar as json from flat",
+        _series_sql(2015, 2023),
+    ),
+    "stats_document": (
+        mortality.stats_report,
+        "select to_json({city_code: cast(null as int), location_type: 'occurrence', latest_year: latest_year, latest_year_deaths: latest_year_deaths, previous_year_deaths: previous_year_deaths, "
+        "growth_percentage: growth_percentage, most_violent_year: {year: most_violent_year, total_deaths: most_violent_year_deaths}, "
+        "last_5_years: {total_deaths: last_5_years_total, average_per_year: last_5_years_average}, "
+        "all_time: {total_deaths: all_time_total, years_covered: years_covered, average_per_year: all_time_average}})::varchar as json from flat",
+        _stats_sql("true"),
+    ),
+}
+for _name, (_f, _select, _flat) in _DOCUMENTS.items():
     QUERIES[_name] = shifted(lambda d, f=_f: mortality.as_json(f(d)))
+    SQL[_name] = f"with flat as ({_flat}) {_select}"
 
 
 _report(
@@ -379,20 +391,77 @@ def geo_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.within_radius(A.locations(spark, sf_dir), 5.0, -34.9, 200_000).select("id", "name", "latitude", "longitude")
 
 
-@register("select e.id, count(distinct s.rid) as n_sessions, cast(coalesce(sum(s.total_cyclists), 0) as bigint) as total from alle e left join (select row_number() over () as rid, * from ses) s on s.event_id = e.id group by e.id", "alle", "ses")
+@register("select * from alle where id = 42", "alle")
+def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.get(A.all_events(spark, sf_dir), 42)
+
+
+@register("select * from kses where id = (select min(id) from kses where event_id >= 42)", "kses")
+def session_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = A.keyed_sessions(spark, sf_dir)
+    return counting.get(sessions, sessions.filter("event_id >= 42").agg(F.min("id")).first()[0])
+
+
+@register("select kmov.id, session_id, from_direction, to_direction, kmov.count from kmov where session_id = (select min(id) from kses where event_id >= 42)", "kmov", "kses")
+def movements_of_a_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = A.keyed_sessions(spark, sf_dir)
+    return counting.movements_of_session(sessions, A.keyed_movements(spark, sf_dir), sessions.filter("event_id >= 42").agg(F.min("id")).first()[0])
+
+
+@register(
+    "select from_direction, to_direction, cast(sum(kmov.count) as bigint) as total from kmov join kses on session_id = kses.id join alle on event_id = alle.id where location_id = 5 group by 1, 2",
+    "kmov", "kses", "alle",
+)
+def movement_matrix_by_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of movement, session and event, each with ids of its own."""
+    return counting.movement_matrix(A.keyed_movements(spark, sf_dir), A.keyed_sessions(spark, sf_dir), A.all_events(spark, sf_dir), 5)
+
+
+@register("select id, city, is_rmr from rmr where is_rmr = 'true'", "rmr")
+def metropolitan_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = A.locations(spark, sf_dir)
+    described = places.withColumn("metadata", F.to_json(F.struct((F.col("id") % 3 == 0).alias("is_rmr"), F.lit("x").alias("state_full"))))
+    return counting.metropolitan(described).select("id", "city", S.json_text(F.col("metadata"), "is_rmr").alias("is_rmr"))
+
+
+@register("select loc.id, loc.city, prof.event_type, prof.user_id from loc left join prof on loc.id = prof.user_id where loc.city = (select min(city) from loc where id < 10)", "loc", "prof")
+def left_join_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A left join across services with a filter on its left side."""
+    places = A.locations(spark, sf_dir)
+    city = places.filter("id < 10").agg(F.min("city")).first()[0]
+    joined = profiles.joined_left(places, A.profiles(spark, sf_dir).select("event_type", "user_id"), "id", "user_id")
+    return predicates.keep(joined, predicates.equal("city", city)).select("id", "city", "event_type", "user_id")
+
+
+_NESTED_MOVES = "m as (select session_id, list({id: id, session_id: session_id, from_direction: from_direction, to_direction: to_direction, count: count} order by id) as movements from kmov group by session_id)"
+_NESTED_SESSIONS = (
+    "s as (select event_id, list({id: id, event_id: event_id, session_label: session_label, total_cyclists: total_cyclists, movements: movements} order by id) as sessions "
+    "from kses join m on id = session_id group by event_id)"
+)
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.nested_events(A.all_events(spark, sf_dir), A.keyed_sessions(spark, sf_dir), A.keyed_movements(spark, sf_dir))
+
+
+@register("select alle.id, count(kses.id) as n_sessions, cast(coalesce(sum(total_cyclists), 0) as bigint) as total from alle left join kses on event_id = alle.id group by alle.id", "alle", "kses")
 def nested_event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested documents, folded back to totals that SQL can tell."""
-    nested = nested_event_document(spark, sf_dir)
+    """The nested documents, folded back to totals."""
     total = F.aggregate("sessions", F.lit(0).cast("long"), lambda a, s: a + s["total_cyclists"])
-    return nested.select("id", F.size("sessions").cast("long").alias("n_sessions"), total.alias("total"))
+    return _nested(spark, sf_dir).select("id", F.size("sessions").cast("long").alias("n_sessions"), total.alias("total"))
 
 
 @register()
 def nested_event_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = A.sessions(spark, sf_dir).withColumn("id", F.xxhash64("event_id", "session_label"))
-    moves = A.movements(spark, sf_dir)
-    moves = moves.select(F.xxhash64("event_id", F.lit("06-07")).alias("session_id"), "from_direction", "to_direction", "count")
-    return counting.nested_events(A.all_events(spark, sf_dir), sessions, moves)
+    nested = _nested(spark, sf_dir)
+    return nested.select("id", F.to_json(F.struct(*nested.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+SQL["nested_event_document"] = (
+    A.with_tables("", "alle", "kses", "kmov").strip()
+    + f", {_NESTED_MOVES}, {_NESTED_SESSIONS} select alle.id, to_json({{id: alle.id, location_id: location_id, counting_date: counting_date, sessions: coalesce(sessions, [])}})::varchar as json "
+    "from alle left join s on event_id = alle.id"
+)
 
 
 # Documents and profiles

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,7 @@ def load(
     events: DataFrame | None = None,
     sessions: DataFrame | None = None,
     movements: DataFrame | None = None,
+    kept: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> CountTables:
     """New rows of the four tables from documents (see ``schemas.COUNT_DOCUMENT``) with their position.
 
@@ -92,6 +94,7 @@ def load(
     document of one makes it, sessions or not. A document without sessions makes no event; of several of a
     location and day the first makes it, and brings its sessions. What is already in ``locations`` and
     ``events`` is used, and neither made anew nor given more sessions. Ids go on behind the largest of each table.
+    ``kept`` may write what several tables are made from, so that documents are read once.
     """
     valid = documents.filter(valid_coordinates())
     flat = valid.select(
@@ -112,10 +115,11 @@ def load(
         loose_date(F.col("metadata.date")).alias("counting_date"),
         F.col("data.sessions").alias("sessions"),
     )
+    flat = kept(flat)
     made = first_wins(flat.select("position", "name", "city", "state", "latitude", "longitude", "metadata"), ["name"], ["position"])
     if locations is not None:
         made = made.join(locations.select(F.col("name").alias("__name")), F.col("name") == F.col("__name"), "left_anti")
-    made = numbered(made, ["position"], last_id(locations)).select("id", "name", "city", "state", "latitude", "longitude", "metadata")
+    made = kept(numbered(made, ["position"], last_id(locations))).select("id", "name", "city", "state", "latitude", "longitude", "metadata")
     named = made.select(F.col("id").alias("location_id"), F.col("name").alias("__name"))
     if locations is not None:
         named = named.unionByName(locations.select(F.col("id").alias("location_id"), F.col("name").alias("__name")))
@@ -126,11 +130,11 @@ def load(
     if events is not None:
         there = events.select(F.col("location_id").alias("__place"), F.col("counting_date").alias("__day"))
         new = new.join(there, (F.col("location_id") == F.col("__place")) & (F.col("counting_date") == F.col("__day")), "left_anti")
-    new = numbered(new, ["position"], last_id(events))
+    new = kept(numbered(new, ["position"], last_id(events)))
     event_columns = ["id", "location_id", "counting_date", "start_time", "end_time", "total_cyclists", "max_hour_cyclists"]
 
     spread = new.select(F.col("id").alias("event_id"), F.posexplode("sessions").alias("__place", "s"))
-    held_sessions = numbered(spread.select("event_id", "__place", "s.*"), ["event_id", "__place"], last_id(sessions))
+    held_sessions = kept(numbered(spread.select("event_id", "__place", "s.*"), ["event_id", "__place"], last_id(sessions)))
     moved = unpivot_movements(held_sessions).withColumnRenamed("id", "session_id")
     moved = numbered(moved, ["session_id", "__place"], last_id(movements))
     stamped = held_sessions.select(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +63,7 @@ def load_deaths(spark: SparkSession, folder: str, root: str, *, app_rules: bool
 
     The files are parsed once: typed rows are kept beside the table until they are counted, numbered and added.
     """
-    kept = f"{root.rstrip('/')}/{tables.STAGED}/parsed-{uuid.uuid4().hex}"
-    deaths.converted(files.read_years(spark, folder, drop_uneven=app_rules), strict=not app_rules).write.parquet(kept)
-    rows = spark.read.parquet(kept)
+    rows = tables.keep(spark, root, deaths.converted(files.read_years(spark, folder, drop_uneven=app_rules), strict=not app_rules))
     there = tables.read(spark, root, "traffic_deaths")
     good = deaths.accepted(rows)
     new = deaths.new_years(good, there)
@@ -79,23 +76,23 @@ def load_deaths(spark: SparkSession, folder: str, root: str, *, app_rules: bool
 COUNT_TABLES = ("counting_locations", "counting_events", "counting_sessions", "session_movements")
 
 
-def load_counts(spark: SparkSession, path: str, root: str) -> dict[str, int]:
-    """A counts document into its four tables.
+def load_counts(spark: SparkSession, path: str, root: str, *, lines: bool = False) -> dict[str, int]:
+    """Counts documents (an array, or one a line) into their four tables.
 
     All new rows are written beside the tables before the first is added, so that each of them is worked out from
     the tables as they were; a run that dies after that is completed by the next one.
     """
     tables.settle(spark, root)
-    documents = files.read_documents(spark, path, COUNT_DOCUMENT)
-    made = counts.load(documents, *(tables.read(spark, root, name) for name in COUNT_TABLES))
+    documents = files.read_documents(spark, path, COUNT_DOCUMENT, lines=lines)
+    made = counts.load(documents, *(tables.read(spark, root, name) for name in COUNT_TABLES), kept=lambda rows: tables.keep(spark, root, rows))
     counters = {name: rows.count() for name, rows in tables.stage(spark, root, dict(zip(COUNT_TABLES, made, strict=True))).items()}
     tables.settle(spark, root)
     return counters | {"skipped": documents.filter(~counts.valid_coordinates()).count()}
 
 
-def load_profiles(spark: SparkSession, path: str, root: str) -> dict[str, int]:
+def load_profiles(spark: SparkSession, path: str, root: str, *, lines: bool = False) -> dict[str, int]:
     tables.settle(spark, root)
-    documents = files.read_documents(spark, path)
+    documents = files.read_documents(spark, path, lines=lines)
     new = profiles.load(documents, tables.read(spark, root, "cyclist_profiles"))
     created = tables.stage(spark, root, {"cyclist_profiles": new})["cyclist_profiles"].count()
     tables.settle(spark, root)

@@ -54,6 +54,13 @@ def stage(spark: SparkSession, root: str, batch: Mapping[str, DataFrame]) -> dic
     return {name: spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}") for name in batch}
 
 
+def keep(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """``rows`` as written beside the tables, so that several later steps read them; the next ``settle`` drops them."""
+    path = f"{root.rstrip('/')}/{STAGED}/kept-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def settle(spark: SparkSession, root: str) -> None:
     """Adds what was staged as a whole, and drops what was not.
 

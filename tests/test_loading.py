@@ -148,6 +148,8 @@ def test_manifest_and_checksums(spark, folder, tmp_path):
     (tmp_path / "bad.json").write_text(json.dumps(entry("sha256:00")))
     with pytest.raises(files.ChecksumMismatch):
         files.verify(spark, files.resolve(files.manifest(spark, str(tmp_path / "bad.json")), "deaths", remote=False, folder=str(folder)))
+    with pytest.warns(UserWarning, match="mortes_transito_2021"):
+        assert files.verify(spark, files.resolve(files.manifest(spark, str(tmp_path / "bad.json")), "deaths", remote=False, folder=str(folder)), warn_only=True).count() == 1
     assert files.object_store("e", "r", "k", "s")["spark.hadoop.fs.s3a.path.style.access"] == "true"
 
 
@@ -155,6 +157,8 @@ def test_cache(spark):
     cache, made = files.TableCache(ttl_seconds=100), []
     load = lambda: made.append(1) or spark.range(3)
     assert cache.get("a", load) is cache.get("a", load) and len(made) == 1 and cache.stats().keys() == {"a"}
+    cache.get("a", load).count()
+    assert 0 < cache.sizes()["a"] < 10_000
     cache.ttl_seconds = -1
     cache.get("a", load)
     assert len(made) == 2
@@ -162,6 +166,27 @@ def test_cache(spark):
     assert not cache.stats()
 
 
+def test_rows_go_to_a_database_and_back(spark):
+    url = "jdbc:derby:memory:roadlens;create=true"
+    rows = spark.range(2500).selectExpr("cast(id as int) id", "concat('place ', id) name", "cast(id % 7 as int) kind")
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    tables.put(rows.filter("id < 1000"), url, "places", **driver)
+    tables.put(rows.filter("id >= 1000"), url, "places", batch=100, parts=3, **driver)
+    back = tables.jdbc(spark, url, "places", bounds=(0, 2500), **driver)
+    assert back.rdd.getNumPartitions() == 8
+    assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+@pytest.mark.parametrize(("wanted", "held"), [
+    ({"a": 5}, True), ({"a": "5"}, False), ({"t": "5"}, True), ({"t": 5}, False), ({"o": {"p": {"q": [1, 2]}}}, True), ({"o": {"p": {"q": [2]}}}, True),
+    ({"o": {"p": {"q": [3]}}}, False), ({"o": {"p": 1}}, False), ({"n": None}, True), ({"missing": None}, False), ({"b": True}, True), ({"b": "true"}, False), ({"l": [{"x": 1}]}, True), ({"f": 1.5}, True),
+])
+def test_containment(spark, wanted, held):
+    doc = '{"a": 5, "t": "5", "o": {"p": {"q": [1, 2], "r": 0}}, "n": null, "b": true, "l": [{"x": 1, "y": 2}, 3], "f": 1.50}'
+    rows = spark.createDataFrame([(doc,), ("no json",), (None,), ("[1]",)], "d string")
+    assert [r["h"] for r in rows.select(S.json_contains(F.col("d"), **wanted).alias("h")).collect()] == [held, False, False, False]
+
+
 def test_orchestration(spark):
     def bad():
         raise ValueError("no data")
