@@ -3,8 +3,9 @@
 Unit vectors with cosine c or more lie within squared distance 2 - 2c. After a rotation, which spreads the
 variance evenly, the coordinates are split into blocks; in one block at least the pair lies within the block's
 proportional share of that squared distance. Each block is range-joined by itself: a grid over its first two
-coordinates deals the vectors, and in a cell a sweep over the third one bounds what is compared. Candidates of a
-block are verified on the whole vectors at once, exactly, and counted by the first block that yields them.
+coordinates deals the vectors, and in a task the vectors lie in orthants of the block, of which a vector visits those
+within its reach. Candidates of a block are verified on the whole vectors at once, exactly, and counted by the first
+block that yields them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, ship, write_out
+from roadlens.llm.common import fresh, join_groups, quoted, ship, write_out
 from roadlens.llm.components import components
 
 COSINE = 0.9
@@ -25,8 +26,11 @@ BLOCKS = 4
 #: Vectors of a cell that one task takes, and vectors it compares them with; more are dealt out over tasks.
 LEFT = 16_384
 RIGHT = 65_536
-#: Rows of the left side that are compared at once.
-STRIP = 256
+#: Rows of the left side whose orthants are found at once, and those that are compared at once with as many of the
+#: right side. Orthants are split as long as they hold LEAF vectors or more in the mean.
+STRIP = 2048
+TILE = 4096
+LEAF = 64
 #: Slack for rounding in the blocks' distances; what they let through is verified exactly.
 SLACK = 1e-9
 
@@ -62,7 +66,9 @@ FOUND = T.StructType([T.StructField("rep", T.LongType()), T.StructField("other",
 
 
 def units(vectors: list[np.ndarray]) -> np.ndarray:
+    """Unit vectors. Each is scaled by its largest component first, so that no square is too large or too small."""
     m = np.stack(vectors).astype(np.float64)
+    m = m / np.abs(m).max(axis=1)[:, None]
     return m / np.sqrt((m * m).sum(axis=1))[:, None]
 
 
@@ -108,11 +114,20 @@ def compare(dim: int, block: int, blocks: int, cosine: float, left: tuple, right
     l_turn, r_turn = l_unit @ turn, r_unit @ turn
     a, b = bounds[block]
     most = budget(dim, bounds[block], cosine)
-    sweep = min(a + 2, b - 1)
-    order = np.argsort(r_turn[:, sweep], kind="stable")
-    r_turn, r_rep, r_n, r_unit = r_turn[order], r_rep[order], r_n[order], r_unit[order]
-    l_order = np.argsort(l_turn[:, sweep], kind="stable")
-    l_turn, l_rep, l_n, l_unit = l_turn[l_order], l_rep[l_order], l_n[l_order], l_unit[l_order]
+    # A cell is one of the grid, split by the signs of further coordinates.
+    width, planes = np.sqrt(most), min(2, b - a)
+    depth = min(b - a - planes, max(0, int(np.log2(max(1, len(r_rep)) / LEAF))))
+    l_code, r_code = (np.c_[np.floor(t[:, a : a + planes] / width), t[:, a + planes : a + planes + depth] > 0].astype(np.int32) for t in (l_turn, r_turn))
+    order = np.lexsort(r_code.T[::-1])
+    r_turn, r_rep, r_n, r_unit, r_code = r_turn[order], r_rep[order], r_n[order], r_unit[order], r_code[order]
+    starts = np.flatnonzero(np.r_[True, (r_code[1:] != r_code[:-1]).any(axis=1)])
+    stops, cells = np.r_[starts[1:], len(r_code)], r_code[starts]
+    if same:  # a pair of cells is compared once
+        both = np.unique(np.r_[cells, l_code], axis=0, return_inverse=True)[1].ravel()
+        c_rank, l_rank = both[: len(cells)], both[len(cells) :]
+        r_rank = np.repeat(c_rank, stops - starts)
+    low = (cells[:, :planes] * width).astype(np.float32)
+    signs = np.where(cells[:, planes:], 1, -1).astype(np.float32)
     l_gain, r_gain = np.zeros(len(l_rep), np.int64), np.zeros(len(r_rep), np.int64)
     parent: dict[int, int] = {}
     forest: list[tuple[int, int]] = []
@@ -123,35 +138,51 @@ def compare(dim: int, block: int, blocks: int, cosine: float, left: tuple, right
             v = up
         return v
 
-    r_sub, r_sq = r_turn[:, a:b].astype(np.float32), (r_turn[:, a:b] ** 2).sum(1).astype(np.float32)
-    reach = np.sqrt(most)
+    # Single precision, with room for its rounding, only narrows the candidates.
+    reach = np.float32(most + 1e-5)
+    l_sub, r_sub = l_turn[:, a:b].astype(np.float32), r_turn[:, a:b].astype(np.float32)
+    l_sq, r_sq = (l_sub**2).sum(1), (r_sub**2).sum(1)
+
+    def candidates(s: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        x = l_sub[s : s + STRIP, planes : planes + depth]
+        # The squared distance to a cell: to its part of the grid, and of the coordinates on whose other side it lies.
+        away = ((x**2).sum(1)[:, None] - (x * np.abs(x)) @ signs.T) / 2
+        for k in range(planes):
+            y = l_sub[s : s + STRIP, k][:, None]
+            away += np.maximum(0, np.maximum(low[:, k] - y, y - low[:, k] - np.float32(width))) ** 2
+        visits = away <= reach
+        if same:
+            visits &= l_rank[s : s + STRIP, None] <= c_rank
+        for cell in np.flatnonzero(visits.any(0)).tolist():
+            rows = np.flatnonzero(visits[:, cell]) + s
+            for t in range(starts[cell], stops[cell], TILE):
+                u = min(stops[cell], t + TILE)
+                near = l_sub[rows] @ r_sub[t:u].T
+                near *= -2
+                near += l_sq[rows][:, None]
+                near += r_sq[t:u]
+                i, j = np.nonzero(near <= reach)
+                if len(i):
+                    yield rows[i], j + t
+
     for s in range(0, len(l_rep), STRIP):
-        sub = l_turn[s : s + STRIP, a:b]
-        lo = int(np.searchsorted(r_turn[:, sweep], l_turn[s, sweep] - reach))
-        hi = int(np.searchsorted(r_turn[:, sweep], l_turn[min(s + STRIP, len(l_rep)) - 1, sweep] + reach, side="right"))
-        for t in range(lo, hi, 1 << 14):
-            u = min(hi, t + (1 << 14))
-            # Single precision, with room for its rounding, only narrows the candidates.
-            near = sub.astype(np.float32) @ r_sub[t:u].T
-            near *= -2
-            near += (sub**2).sum(1).astype(np.float32)[:, None]
-            near += r_sq[t:u]
-            i, j = np.nonzero(near <= most + 1e-5)
-            i, j = i + s, j + t
-            keep = l_rep[i] < r_rep[j] if same else l_rep[i] != r_rep[j]
+        for i, j in candidates(s):
+            keep = (l_rank[i] != r_rank[j]) | (l_rep[i] < r_rep[j]) if same else l_rep[i] != r_rep[j]
             i, j = i[keep], j[keep]
             for p in range(0, len(i), 1 << 16):
                 x, y = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
                 linked = np.einsum("ij,ij->i", l_unit[x], r_unit[y]) >= cosine
                 x, y = x[linked], y[linked]
+                if not len(x):
+                    continue
                 gap = (l_turn[x] - r_turn[y]) ** 2
                 first = gap[:, a:b].sum(1) <= most
                 for k in range(block):
                     c, d = bounds[k]
                     first &= gap[:, c:d].sum(1) > budget(dim, bounds[k], cosine)
                 x, y = x[first], y[first]
-                l_gain += np.bincount(x, weights=r_n[y], minlength=len(l_gain)).astype(np.int64)
-                r_gain += np.bincount(y, weights=l_n[x], minlength=len(r_gain)).astype(np.int64)
+                np.add.at(l_gain, x, r_n[y])
+                np.add.at(r_gain, y, l_n[x])
                 for v, w in zip(l_rep[x].tolist(), r_rep[y].tolist(), strict=True):
                     f, g = root(v), root(w)
                     if f != g:
@@ -229,38 +260,32 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, blocks: int = BL
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without vec_id, link with
     nothing: n_links 0, and each is its own component (kept, unless vec_id is null). Vectors of different
     length don't link. Equal vectors are one class and are never paired; rows with the same vec_id count as
-    different vectors. Clashing columns are replaced.
+    different vectors. Every row gives a row; an empty table gives none; clashing columns are replaced.
     """
     ship(vectors.sparkSession)
     added = ["n_links", "component_id", "kept"]
     rows = vectors.select(*[F.col(quoted(c)) for c in vectors.columns if c not in added])
+    exact, h = fresh([*rows.columns, *added], "exact"), fresh([*rows.columns, *added], "h")
     values = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     finite = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     fit = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite & F.exists(values, lambda v: v != 0), F.lit(False))
-    # An array as text of exact values is no key to shuffle by; its hash is, with the array for certainty.
-    keyed = rows.withColumn("__values", F.when(fit, F.transform(values, lambda v: v + F.lit(0.0))))
-    usable = keyed.filter(F.col("__values").isNotNull())
-    classes = usable.groupBy("__values").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("n"))
-
-    # Two classes may share a least id only if ids repeat: then the rows of one id are told apart by a hash.
-    classes = classes.withColumn("node", F.xxhash64("__values"))
-    packed = write_out(classes.select(F.col("node").alias("rep"), F.col("rep").alias("least"), "n", _packed(F.col("__values")).alias("vector")), "vector-classes")
-    found = write_out(links(packed, cosine, blocks, left, right), "vector-links")
-    gained = found.filter(F.col("other").isNull()).groupBy("rep").agg(F.sum("n").alias("gained"))
+    # Rows meet their class by all values; their hash only comes first in the comparison. Adding 0 makes -0 one with 0.
+    keyed = rows.withColumn(exact, F.when(fit, F.transform(values, lambda v: v + F.lit(0.0)))).withColumn(h, F.xxhash64(exact))
+    usable = keyed.filter(F.col(exact).isNotNull())
+    classes = usable.groupBy(h, exact).agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("n"))
+    # Numbers that stay what they are once they are written tell classes apart, whatever ids and hashes do.
+    classes = write_out(classes.withColumn("node", F.monotonically_increasing_id()), "vector-classes")
+    found = write_out(links(classes.select(F.col("node").alias("rep"), "n", _packed(F.col(exact)).alias("vector")), cosine, blocks, left, right), "vector-links")
+    gained = found.filter(F.col("other").isNull()).groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("gained"))
     comps = write_out(components(found.filter(F.col("other").isNotNull()).select(F.col("rep").alias("a"), F.col("other").alias("b"))), "components")
-    labelled = packed.select("rep", "least", "n").join(comps, F.col("rep") == F.col("node"), "left").join(gained, "rep", "left")
-    labelled = labelled.select("rep", "least", F.coalesce("component", "rep").alias("component"), (F.col("n") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links"))
-    firsts = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = labelled.join(firsts, "component").select(F.col("rep").alias("__rep"), "n_links", "component_id")
-    out = keyed.withColumn("__node", F.when(F.col("__values").isNotNull(), F.xxhash64("__values"))).drop("__values")
-    joined = out.join(labels, F.col("__node") == F.col("__rep"), "left").drop("__node", "__rep")
-    return joined.withColumns(
-        {
-            "n_links": F.coalesce("n_links", F.lit(0)).cast("long"),
-            "component_id": F.coalesce("component_id", F.col("vec_id").cast("long")),
-            "kept": F.coalesce(F.col("vec_id") == F.coalesce("component_id", F.col("vec_id")), F.lit(False)),
-        }
-    )
+    labelled = classes.drop(exact, h).join(comps, "node", "left").join(gained, "node", "left")
+    labelled = write_out(labelled.select("node", "least", "n", F.coalesce("component", "node").alias("component"), (F.col("n") - 1 + F.coalesce("gained", F.lit(0))).alias("n_links")), "classes")
+    firsts = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    of_class = join_groups(labelled, firsts, "component", "size").select("node", "n_links", "component_id")
+    labels = write_out(classes.select("node", h, exact, "n").join(of_class, "node").drop("node"), "labels")
+    joined = join_groups(usable, labels, [h, exact], "n").drop(h, exact)
+    alone = keyed.filter(F.col(exact).isNull()).drop(h, exact).withColumns({"n_links": F.lit(0).cast("long"), "component_id": F.col("vec_id").cast("long")})
+    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def _packed(values):
@@ -274,7 +299,7 @@ def _packed(values):
 
 
 def op2(vectors: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns; nulls, odd vectors, repeats and ties as in ``near_duplicates``."""
     return near_duplicates(vectors.select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
 
 

@@ -786,6 +786,31 @@ def test_vector_links_are_all_pairs(spark, left, right):
         assert r["component_id"] == comp.get(i, i) and r["kept"] == (comp.get(i, i) == i)
 
 
+def test_odd_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    vecs = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1.0, 1.0]), (5, [5e-324, 0.0]), (6, [1.0, 0.0]), (7, [inf, 1.0]), (8, [-0.0, 2.0]), (9, [0.0, 2.0]), (9, [0.0, 2.0]), (9, [-1.0, -1.0]), (10, [nan, 1.0]), (None, [1.0, 1.0]), (11, None), (11, [])]
+    frame = spark.createDataFrame(vecs, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("exact", "h", "_h", "node", "n", "least", "component", "kept", "rep")})
+    got = vectors.near_duplicates(frame).collect()
+    assert len(got) == len(vecs) and all(r["node"] == "x" and r["_h"] == "x" for r in got)
+    links = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"]) for r in got)
+    assert links == sorted([(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 2, 8), (9, 2, 8), (9, 2, 8), (9, 0, 9), (10, 0, 10), (0, 0, None), (11, 0, 11), (11, 0, 11)])
+    assert vectors.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("n", "dim"), [(3000, 64), (700, 5)])
+def test_orthants_lose_no_pair(n, dim):
+    dice = np.random.default_rng(n)
+    rows = vectors.units(list(np.concatenate([dice.standard_normal((n, dim)), np.abs(dice.standard_normal((n // 4, dim)))])))
+    rows = np.concatenate([rows, vectors.units(list(rows[: n // 3] + 0.3 / np.sqrt(dim) * dice.standard_normal((n // 3, dim))))])
+    ids, one = np.arange(len(rows)), np.ones(len(rows), np.int64)
+    gains = np.zeros(len(rows), np.int64)
+    for block in range(4):
+        rep, gain, _ = vectors.compare(dim, block, 4, 0.9, (ids, one, rows), (ids, one, rows), same=True)
+        np.add.at(gains, rep, gain)
+    near = rows @ rows.T >= 0.9
+    assert gains.tolist() == (near.sum(1) - 1).tolist() and gains.sum() > n // 4
+
+
 def test_vector_query_is_all_pairs(spark):
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     m = {r["vec_id"]: np.array(r["embedding"], float) for r in frame.collect()}
