@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from roadlens.llm.common import by_position, ship, with_text_columns, write_out
+from roadlens.llm.common import BROADCAST_ROWS, by_position, ship, with_text_columns, write_out
 
 WORD = re.compile(r"\w+")
 MARKS = re.compile(r"[^\w\s]")
@@ -114,11 +114,10 @@ def learn_prefixes(labelled: DataFrame) -> dict[str, float]:
     from which they do.
 
     A beginning and share is taken if at least PREFIX_SUPPORT texts reach it, and at least PREFIX_PRECISION of
-    them are toxic; of several shares of a beginning the least. Copies of a text count once (toxic, if one is
-    labelled so). All labelled texts are counted, where they are; the driver gets the beginnings that are taken.
+    them are toxic; of several shares of a beginning the least. All labelled texts are counted, where they are; the
+    driver gets the beginnings that are taken.
     """
-    texts = labelled.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("size")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = with_text_columns(texts.select("text", "toxic"), "text", REACHED, _reached).select("toxic", F.explode("reached").alias("r"))
+    rows = with_text_columns(labelled.select("text", "toxic"), "text", REACHED, _reached).select("toxic", F.explode("reached").alias("r"))
     counts = rows.groupBy("r.prefix", "r.level").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
     # Who reaches a share reaches the smaller ones: a row for each of PREFIX_RATES a beginning at most.
     above = W.partitionBy("prefix").orderBy(F.desc("level"))
@@ -264,12 +263,19 @@ def fit(found: DataFrame, rules: dict[str, float], sample_docs: int = SAMPLE_DOC
 
 def rules_of(docs: DataFrame, labels: DataFrame | None) -> dict[str, float]:
     """The prefixes learned from ``labels`` (doc_id, toxic), which may name some documents toxic. Null labels count as
-    none; a document with several labels is toxic if one says so; labels of no document are ignored."""
+    none; a document with several labels is toxic if one says so; labels of no document are ignored; copies of a text
+    count once (toxic, if one is labelled so).
+
+    Only ids and hashes of texts meet the labels; texts are shuffled only to more of them than are broadcast.
+    """
     if labels is None:
         return {}
     given = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("l_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return learn_prefixes(texts.join(given, F.col("doc_id") == F.col("l_doc")).select("text", "toxic"))
+    texts = docs.filter(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    met = texts.select("doc_id", "h").join(given, F.col("doc_id") == F.col("l_doc"))
+    chosen = write_out(met.groupBy(F.col("h").alias("l_h")).agg(F.min("doc_id").alias("l_doc"), F.max("toxic").alias("toxic")), "labelled-texts")
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    return learn_prefixes(texts.join(chosen, (F.col("doc_id") == F.col("l_doc")) & (F.col("h") == F.col("l_h"))).select("text", "toxic"))
 
 
 def learn(docs: DataFrame, labels: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
