@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, with_text_columns
+from roadlens.llm.common import fresh, quoted, with_text_columns
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
@@ -251,7 +251,6 @@ def _masker(mask: str) -> Callable[[], Callable[[list], list[list]]]:
             for a, b, k in spans:
                 if a >= done:
                     out += [text[done:a], mask.format(k.upper())]
-                out += []
                 done = max(done, -b)
             return "".join([*out, text[done:]])
 
@@ -263,13 +262,15 @@ def _masker(mask: str) -> Callable[[], Callable[[list], list[list]]]:
 def mask_personal_data(docs: DataFrame, mask: str = "[{}]") -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind; overlapping spans become one, named by the first.
 
-    Null texts stay null. A column n_chars, if there is one, is counted anew; all other columns pass through.
+    Null and empty texts stay as they are, and so do repeated rows; an empty table gives an empty one; texts are read
+    whole, however long; no column can clash. A column n_chars, if there is one, is counted anew; all other columns pass through.
     """
-    masked = with_text_columns(docs, "text", T.StructType([T.StructField("__masked", T.StringType())]), _masker(mask))
-    new = {"text": F.col("__masked"), "n_chars": F.length("__masked").cast("long")}
+    name = fresh(docs.columns, "masked")
+    masked = with_text_columns(docs, "text", T.StructType([T.StructField(name, T.StringType())]), _masker(mask))
+    new = {"text": F.col(name), "n_chars": F.length(name).cast("long")}
     return masked.select(*[new.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns; nulls, empty and long texts, ties and repeated rows as in ``personal_data``."""
     return personal_data(docs.select("doc_id", "text")).select("doc_id", *COUNTS, "base_sha256", "spans")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadlens.llm import decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, vectors, warc
+from roadlens.llm import base_sql, decontaminate, langid, packing, pii, quality, secrets, simhash, substrings, vectors, warc
 from roadlens.llm.common import table
 
 
@@ -48,6 +48,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(table(spark, sf_dir, "pages"))
 
 
+def personal_data_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of ``op4_personal_data``: all but the spans that the method adds."""
+    return op4_personal_data(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of ``op9_secrets``: all but the spans that the method adds."""
+    return op9_secrets(spark, sf_dir).drop("spans")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -61,6 +71,8 @@ QUERIES = {
         op8_quality,
         op9_secrets,
         op10_warc,
+        personal_data_base,
+        secrets_base,
     )
 }
 #: SQL tells neither learned models, XXH64, zstandard nor tokens; tests hold the others against brute force.
@@ -68,4 +80,6 @@ SQL = {
     "op2_embedding_near_dedup": vectors.OP2_SQL,
     "op6_benchmark_decontamination": decontaminate.OP6_SQL,
     "op10_warc": warc.OP10_SQL,
+    "personal_data_base": base_sql.PERSONAL_DATA_BASE,
+    "secrets_base": base_sql.SECRETS_BASE,
 }

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadlens.llm.common import quoted, with_text_columns, write_out
+from roadlens.llm.common import fresh, quoted, with_text_columns, write_out
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -485,8 +485,9 @@ def mask_secrets(docs: DataFrame, model: Model, mask: str = "[SECRET]") -> DataF
 
         return lambda texts: [[masked(t) for t in texts]]
 
-    out = with_text_columns(docs, "text", T.StructType([T.StructField("__masked", T.StringType())]), make)
-    return out.select(*[F.col("__masked" if c == "text" else quoted(c)).alias(c) for c in docs.columns])
+    masked = fresh(docs.columns, "masked")
+    out = with_text_columns(docs, "text", T.StructType([T.StructField(masked, T.StringType())]), make)
+    return out.select(*[F.col(masked if c == "text" else quoted(c)).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:
