@@ -115,6 +115,13 @@ def keyed_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select((F.col("session_id") * 16 + F.col("a") * 4 + F.col("b")).alias("id"), "session_id", direction(F.col("a")).alias("from_direction"), direction(F.col("b")).alias("to_direction"), "count")
 
 
+def faulty_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements with every fault that their rules name."""
+    start = F.col("l_suppkey") % 4
+    to = F.when(F.col("l_partkey") % 9 == 0, F.lit("up")).otherwise(direction((start + F.col("l_partkey") % 3) % 4))
+    return table(spark, sf_dir, "lineitem").select(F.when(F.col("l_partkey") % 11 == 0, F.lit("down")).otherwise(direction(start)).alias("from_direction"), to.alias("to_direction"), (F.col("l_quantity") - 10).cast("int").alias("count"))
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").cast("int").alias("id"), F.col("props").alias("data"), F.col("props").alias("metadata"), "event_type", "user_id")
 
@@ -141,6 +148,8 @@ SQL = {
         cast(sum(cast(l_quantity as int)) as int) as total_cyclists from lineitem group by l_orderkey, l_linenumber""",
     "kmov": f"""select session_id * 16 + a * 4 + b as id, session_id, {direction_sql("a")} as from_direction, {direction_sql("b")} as to_direction, cast(sum(n) as int) as count
       from (select l_orderkey * 8 + l_linenumber as session_id, l_suppkey % 4 as a, (l_suppkey % 4 + 1 + l_partkey % 3) % 4 as b, cast(l_quantity as int) as n from lineitem) group by session_id, a, b""",
+    "faulty": f"""select case when l_partkey % 11 = 0 then 'down' else {direction_sql("(l_suppkey % 4)")} end as from_direction,
+        case when l_partkey % 9 = 0 then 'up' else {direction_sql("((l_suppkey % 4 + l_partkey % 3) % 4)")} end as to_direction, cast(l_quantity - 10 as int) as cnt from lineitem""",
     "rmr": """select cast(s_suppkey as int) as id, n_name as city, case when s_suppkey % 3 = 0 then 'true' else 'false' end as is_rmr
       from supplier join nation on s_nationkey = n_nationkey""",
     "prof": "select cast(event_id as int) as id, props as data, props as metadata, event_type, user_id from events",

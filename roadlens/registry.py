@@ -549,15 +549,55 @@ def validate_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.violations(rows, {n: rules[n] for n in _RULES})
 
 
-@register("select rule, n from (select 'from is not to' as rule, cast(coalesce(sum(case when from_direction = to_direction then 1 else 0 end), 0) as bigint) as n from mov union all select 'count not negative', cast(coalesce(sum(case when cnt < 0 then 1 else 0 end), 0) as bigint) from mov)", "mov")
+_FAULTY = {
+    "from a direction": "from_direction in ('north', 'east', 'south', 'west')",
+    "to a direction": "to_direction in ('north', 'east', 'south', 'west')",
+    "from is not to": "from_direction <> to_direction",
+    "count not negative": "cnt >= 0",
+}
+
+
+@register(" union all ".join(f"select '{n}' as rule, cast(coalesce(sum(case when not ({c}) then 1 else 0 end), 0) as bigint) as n from faulty" for n, c in _FAULTY.items()), "faulty")
 def validate_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Movements made faulty: from and to the same, unknown directions, negative counts."""
     rules = constraints.movement_rules()
-    return constraints.violations(A.movements(spark, sf_dir), {n: rules[n] for n in ("from is not to", "count not negative")})
+    return constraints.violations(A.faulty_movements(spark, sf_dir), {n: rules[n] for n in _FAULTY})
 
 
-@register("select id, location_id from evt where location_id not in (select id from loc)", "evt", "loc")
+@register("select id, location_id from evt where location_id not in (select id from loc where id not in (3, 4))", "evt", "loc")
 def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return constraints.orphans(A.events(spark, sf_dir), "location_id", A.locations(spark, sf_dir)).select("id", "location_id")
+    """Events whose place is not among those that are left when two are taken away."""
+    left = A.locations(spark, sf_dir).filter("id not in (3, 4)")
+    return constraints.orphans(A.events(spark, sf_dir), "location_id", left).select("id", "location_id")
+
+
+@register("select from_direction, cnt, count(*) as n from mov group by 1, 2 having count(*) > 1", "mov")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return constraints.repeated_keys(A.movements(spark, sf_dir).withColumnRenamed("count", "cnt"), "from_direction", "cnt")
+
+
+@register("select evt.id, evt.total_cyclists + id % 2 as total_cyclists from evt where id % 2 = 1", "evt")
+def uneven_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose total was changed, told by the sums of their sessions."""
+    changed = A.events(spark, sf_dir).withColumn("total_cyclists", F.col("total_cyclists") + F.col("id") % 2)
+    return constraints.uneven_totals(changed, A.sessions(spark, sf_dir)).select("id", "total_cyclists")
+
+
+_FAR = "2 * 6371008.8 * asin(sqrt(least(1.0, power(sin(radians(latitude::double + 10.0) / 2), 2) + cos(radians(10.0)) * cos(radians(latitude::double)) * power(sin(radians(longitude - 175.0) / 2), 2))))"
+
+
+@register(f"select id, latitude, longitude from (select id, latitude, cast((id * 37) % 360 - 180 as double) as longitude from loc) where {_FAR} <= 4000000", "loc")
+def geo_radius_over_the_date_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places all around the earth, within a circle that the date line cuts."""
+    places = A.locations(spark, sf_dir).withColumn("longitude", ((F.col("id") * 37) % 360 - 180).cast("double"))
+    return counting.within_radius(places, -10.0, 175.0, 4_000_000).select("id", "latitude", "longitude")
+
+
+@register(f"select id, latitude, longitude from (select id, latitude, cast((id * 37) % 360 - 180 as double) as longitude from loc) where {_FAR.replace('175.0', '20.0')} <= 3000000", "loc")
+def geo_radius_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a box of degrees narrows both coordinates first."""
+    places = A.locations(spark, sf_dir).withColumn("longitude", ((F.col("id") * 37) % 360 - 180).cast("double"))
+    return counting.within_radius(places, -10.0, 20.0, 3_000_000).select("id", "latitude", "longitude")
 
 
 @register("select 1 as one")
