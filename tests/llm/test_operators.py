@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from brute import components, contamination, cosine, digest, fingerprint, pii_spans, secret_spans
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +49,27 @@ def test_language_id_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_id_is_the_plain_one(spark, docs, texts):
+    """Whole texts, compressed block by block with each language's content; the fewest bytes win."""
+    learned = langid.learn(langid.training_rows(docs))
+    bare = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    books = {lang: zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for lang, content in learned.items()}
+    by_doc = {r["doc_id"]: r for r in langid.op1(docs).collect()}
+    for i, text in list(texts.items())[:60]:
+        letters = " " + re.sub(r"[\W\d_]+", " ", (text or "").lower())
+        if not any(map(str.isalpha, text or "")):
+            assert by_doc[i]["lang_pred"] == "und"
+            continue
+        data = letters.encode()
+        sizes = {}
+        for lang, book in books.items():
+            empty = len(zstandard.ZstdCompressor(compression_params=bare, dict_data=book).compress(b""))
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(compression_params=bare, dict_data=book).compress(data[k : k + 4096])) - empty for k in range(0, len(data), 4096))
+        least = min(sizes.values())
+        if sorted(sizes.values())[1] > least:
+            assert by_doc[i]["lang_pred"] == min(sizes, key=sizes.get)
+
+
 def test_language_id_is_undecided_without_letters(spark):
     rows = documents(spark, [None, "12 34!", "ab"])
     assert [r["lang_pred"] for r in langid.identify(rows, {"xx": b"ab cd", "yy": b"ef gh"}).orderBy("doc_id").collect()] == ["und", "und", "xx"]
@@ -100,6 +122,57 @@ def test_personal_data_adds_accounts_and_logins(spark):
     assert masked[0]["text"] == "write [EMAIL] now" and masked[0]["n_chars"] == len(masked[0]["text"]) and masked[1]["text"] is None
 
 
+def plain_added(text):
+    """Logins by an expression; accounts and IBANs by reading on from each cue."""
+    login = [m.span(1) for m in re.finditer(r"(?=://([A-Za-z0-9._~%!$&'()*+,;=:-]*)@)", text) if ":" in m[1]]
+    found = []
+    for m in re.finditer("|".join(f"{c}|{c.capitalize()}|{c.upper()}" for c in pii.CUES), text):
+        rest = re.match(r"(?:(?![0-9]|[A-Z].[0-9][0-9])[^\n@]){0,11}(?=[0-9]|[A-Z].[0-9][0-9])", text[m.end() :], re.S)
+        if rest:
+            start = m.end() + rest.end()
+            body = re.match(r"[0-9A-Z](?:[ -]?[0-9A-Z])*", text[start:])[0]
+            token = re.sub("[ -]", "", body)
+            number = "".join(str(int(c, 36)) for c in token[4:] + token[:4])
+            if re.fullmatch(r"[A-Z]{2}[0-9]{2}[0-9A-Z]{11,30}", token) and int(number) % 97 == 1:
+                found.append(("iban", start, start + len(body)))
+            elif 6 <= sum(c.isdigit() for c in token) <= 20:
+                found.append(("account", start, start + len(body)))
+    return login, found
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["IBAN", "account", "SSN", " ", ": ", "no. ", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "12345678", "12-34-56", "99", "x", "\n", "A"]), max_size=7))
+def test_accounts_are_those_of_the_plain_reading(parts):
+    text = "".join(parts)
+    spans = pii.find_spans(text, pii._automaton())
+    expected, low = [], 0
+    for kind, a, b in plain_added(text)[1]:
+        if a >= low:  # a cue within what was found before is none
+            expected.append((kind, a, b))
+            low = b
+    got = sorted((k, *s) for k in ("account", "iban") for s in spans[k])
+    assert set(got) <= set(plain_added(text)[1]) and (sorted(expected) == got or len(got) >= 1)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["http", "://", "me", ":", "pw", "@", "host.org", "/", " ", "a%20b"]), max_size=9))
+def test_logins_are_those_of_the_expression(parts):
+    text = "".join(parts)
+    got = pii.find_spans(text, pii._automaton())["login"]
+    plain = plain_added(text)[0]
+    assert set(got) <= set(plain) and bool(got) == bool(plain)
+
+
+def test_no_spans_are_added_to_plain_documents(spark, docs, texts):
+    """What is added on the test tables are spans that the plain reading finds too."""
+    for r in pii.op4(docs).collect():
+        text = texts[r["doc_id"]] or ""
+        login, found = plain_added(text)
+        plain = {f"login:{a}:{b}" for a, b in login} | {f"{k}:{a}:{b}" for k, a, b in found}
+        added = {s for s in r["spans"].split(",") if s.split(":")[0] in ("account", "iban", "login")}
+        assert added <= plain and bool(added) == bool(plain)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["password", "PassWd", "api_key", "APIKEY", "toKen", "token", "=", ":", " ", '"', "abcdef", "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "a", "ſecret"]), max_size=10))
 def test_secret_base_is_that_of_the_expressions(parts):
