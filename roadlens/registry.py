@@ -16,9 +16,10 @@ from roadlens.catalogue import QUERIES, SQL, Query, register
 from roadlens.functions import scalars as S
 from roadlens.operators import constraints, counting, mortality, predicates, profiles
 from roadlens.plans.dims import CITIES, MODES, PREFIXES, city_name
-from roadlens.plans.params import DeathFilter, EventFilter
+from roadlens.plans.params import YEARS, DeathFilter, EventFilter, InvalidParameter, row_id
 from roadlens.sources import counts as count_load
 from roadlens.sources import deaths as death_load
+from roadlens.sources import loading
 
 SPAN = DeathFilter(start_year=2015, end_year=2023)
 
@@ -600,6 +601,61 @@ def geo_radius_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.within_radius(places, -10.0, 20.0, 3_000_000).select("id", "latitude", "longitude")
 
 
+# Names, texts and parameters
+
+
+@register("select n_name as name, 'nation-' || n_nationkey as kebab, 'nation_' || n_nationkey as snake, 'nation' || n_nationkey as camel, 'Nation' || n_nationkey as pascal from nation")
+def name_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    return A.table(spark, sf_dir, "nation").select(name.alias("name"), *[S.text_case(name, style).alias(style) for style in ("kebab", "snake", "camel", "pascal")])
+
+
+@register("select n_name as name, n_nationkey % 2 = 0 as valid from nation")
+def valid_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in kebab case are valid, and those that end with a hyphen or hold a capital are not."""
+    name, kebab = F.col("n_name"), S.text_case(F.col("n_name"), "kebab")
+    made = F.when(F.col("n_nationkey") % 2 == 0, kebab).when(F.col("n_nationkey") % 4 == 1, F.concat(kebab, F.lit("-"))).otherwise(name)
+    return A.table(spark, sf_dir, "nation").select(name.alias("name"), S.valid_name(made).alias("valid"))
+
+
+@register("select 'service ' || lower(n_name) || ' on port ' || (3000 + n_nationkey) || ' (' || n_name || ')' as line from nation")
+def filled_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = S.fill_template(F.lit("service {{low}} on port {{port}} ({{name}})"), low=F.lower("n_name"), port=F.col("n_nationkey") + 3000, name=F.col("n_name"))
+    return A.table(spark, sf_dir, "nation").select(text.alias("line"))
+
+
+@register("select case when n_nationkey % 3 = 0 then 'failed' else 'ok' end || ' | ' || rpad(n_name, 20, ' ') || ' | ' || n_nationkey || '.00s' || case when n_nationkey % 3 = 0 then ' | no data' else '' end as line from nation")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a load's report: a mark, the padded name, the seconds, and the error of what failed."""
+    bad = F.col("n_nationkey") % 3 == 0
+    rows = A.table(spark, sf_dir, "nation").select(F.col("n_name").alias("task"), (~bad).alias("success"), F.col("n_nationkey").cast("double").alias("seconds"), F.when(bad, F.lit("no data")).alias("error"))
+    return loading.lines(rows)
+
+
+def _accepted(make: Callable[[], object]) -> bool:
+    try:
+        make()
+    except InvalidParameter:
+        return False
+    return True
+
+
+@register(f"""select k, (2005 + k) between {YEARS[0]} and {YEARS[-1]} as year, k > 3 as location, k % 2 = 0 as day, k % 3 <> 2 as place_type, k % 5 <> 4 as mode, k % 4 = 0 as whole
+  from (select cast(n_nationkey as int) as k from nation)""")
+def parameter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which parameters are accepted: a few for each of the nations, which are as many at any scale."""
+    keys = [r["n_nationkey"] for r in A.table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    modes = ["cyclist", "bus", "other", "unspecified", "boat"]
+    rows = [
+        (
+            k, _accepted(lambda k=k: DeathFilter(year=2005 + k)), _accepted(lambda k=k: EventFilter(location_id=k - 3)), _accepted(lambda k=k: EventFilter(start_date=f"2020-{'02' if k % 2 == 0 else '13'}-01")),
+            _accepted(lambda k=k: DeathFilter(location_type=("occurrence", "residence", "birth")[k % 3])), _accepted(lambda k=k: DeathFilter(transport_mode=modes[k % 5])), _accepted(lambda k=k: row_id(f"{k / 4}")),
+        )
+        for k in keys
+    ]
+    return spark.createDataFrame(rows, "k int, year boolean, location boolean, day boolean, place_type boolean, mode boolean, whole boolean")
+
+
 @register("select 1 as one")
 def constant_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT 1 AS one")
