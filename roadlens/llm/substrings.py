@@ -202,15 +202,15 @@ def repeated_runs(docs: DataFrame, run_bytes: int = RUN) -> DataFrame:
     shared = write_out(spread.filter("least < most").select("digest", "least", "n"), "repeated-chunks")
     here = placed.filter("place > 0")
     met = join_groups(placed, shared, "digest", "n")
-    # A unit that is in both keeps its least document: null is the greatest.
-    alone = here.withColumn("least", F.lit(None).cast("long"))
-    parts = met.unionByName(alone).groupBy("who", "h", "start").agg(F.min("middle").alias("middle"), F.min("end").alias("end"), F.max("place").alias("place"), F.min("least").alias("least"))
+    parts = met.unionByName(here.withColumn("least", F.lit(None).cast("long")))
     # At most a document's own chunks. Rows that repeat a document repeat its chunks: one of each stays.
-    per_doc = parts.groupBy("who", "h").agg(F.array_sort(F.collect_list(F.struct("start", "middle", "end", "place", "least"))).alias("parts"))
+    per_doc = parts.groupBy("who", "h").agg(F.collect_set(F.struct("start", "middle", "end", "place", "least")).alias("parts"))
 
     @F.udf(RUNS, useArrow=True)
     def runs(who: int, parts: list) -> list:
-        return passages(who, [(p["start"], p["middle"], p["end"], p["place"], p["least"]) for p in parts], run_bytes)
+        # Of a unit that is repeated both here and elsewhere, the row with the least document comes last and counts.
+        found = sorted(((p["start"], p["middle"], p["end"], p["place"], p["least"]) for p in parts), key=lambda u: (u[0], u[4] is not None))
+        return passages(who, list({u[0]: u for u in found}.values()), run_bytes)
 
     return per_doc.select("who", "h", F.explode(runs("who", "parts")).alias("r")).select("who", "h", "r.*")
 
