@@ -67,7 +67,8 @@ def load_deaths(spark: SparkSession, folder: str, root: str, *, app_rules: bool
     there = tables.read(spark, root, "traffic_deaths")
     good = deaths.accepted(rows)
     new = deaths.new_years(good, there)
-    created, held = new.count(), rows.agg(F.count("*").alias("n"), F.count("reject").alias("bad")).first()
+    held = rows.agg(F.count("*").alias("n"), F.count("reject").alias("bad")).first()
+    created = new.count() if there is not None else held["n"] - held["bad"]
     deaths.write(deaths.with_keys(new, deaths.batch_mark(), counts.last_id(there)), f"{root.rstrip('/')}/traffic_deaths")
     tables.settle(spark, root)
     return {"created": created, "skipped": held["n"] - held["bad"] - created, "errors": held["bad"]}
