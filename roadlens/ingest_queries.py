@@ -132,27 +132,30 @@ def death_load_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_documents(spark: SparkSession, sf_dir: str, which: str = "true") -> str:
-    """A file of documents, a line each, in the order of their keys. The place with key 5 has a zero coordinate."""
+    """Files of documents, a line each, in the order of their keys from file to file. The place with key 5 has a zero
+    coordinate. Sessions are three numbers until their order's document is written, and no task orders all documents."""
     lines = A.table(spark, sf_dir, "lineitem")
     start = F.col("l_suppkey") % 4
     pair = F.concat_ws("_", A.direction(start), A.direction((start + 1 + F.col("l_partkey") % 3) % 4))
-    count = F.col("l_quantity").cast("int")
-    hour = lambda n: F.concat(F.lit("2013-03-25T"), F.lpad((F.col("l_linenumber") + n).cast("string"), 2, "0"), F.lit(":00:00"))
-    session = F.struct(
-        "l_linenumber", count.alias("total_cyclists"), hour(5).alias("start_time"), hour(6).alias("end_time"), F.concat(F.lit("s"), "l_linenumber").alias("session"),
-        F.struct(*[F.when(pair == k, count).otherwise(0).alias(k) for k in MOVEMENT_KEYS]).alias("quantitative"), F.struct(F.lit(1).alias("helmet")).alias("characteristics"),
+    backwards = MOVEMENT_KEYS[::-1]
+    number = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("n"), F.array_position(F.array(*map(F.lit, backwards)), pair).cast("int").alias("pair"))
+    hour = lambda line, n: F.concat(F.lit("2013-03-25T"), F.lpad((line + n).cast("string"), 2, "0"), F.lit(":00:00"))
+    session = lambda s: F.struct(
+        s["l_linenumber"].alias("l_linenumber"), s["n"].alias("total_cyclists"), hour(s["l_linenumber"], 5).alias("start_time"), hour(s["l_linenumber"], 6).alias("end_time"), F.concat(F.lit("s"), s["l_linenumber"]).alias("session"),
+        F.struct(*[F.when(s["pair"] == backwards.index(k) + 1, s["n"]).otherwise(0).alias(k) for k in MOVEMENT_KEYS]).alias("quantitative"), F.struct(F.lit(1).alias("helmet")).alias("characteristics"),
     )
-    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(session)).alias("sessions"))
+    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(number)).alias("numbers"))
     orders = A.table(spark, sf_dir, "orders").filter(which).join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    placed = orders.select("o_orderkey", "o_custkey", "o_orderdate", "numbers").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     key = (F.col("o_custkey") % A.PLACES).cast("int")
     date = F.concat_ws("-", F.year("o_orderdate"), F.month("o_orderdate"), F.dayofmonth("o_orderdate"))
     document = F.struct(
         F.struct((F.lit(-34.0) - key).alias("x"), (key - 5.0).alias("y")).alias("coordinates"),
         F.struct(F.concat(F.lit("place "), key).alias("name"), date.alias("date"), F.struct(key.alias("id"), F.lit("Recife").alias("name"), F.lit("PE").alias("state"), F.lit(True).alias("rmr")).alias("city")).alias("metadata"),
-        F.struct(F.coalesce("sessions", F.array()).alias("sessions")).alias("data"),
+        F.struct(F.coalesce(F.transform("numbers", session), F.array()).alias("sessions")).alias("data"),
     )
     folder = scratch(spark)
-    orders.select("o_orderkey", F.to_json(document).alias("value")).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(folder)
+    placed.select(F.to_json(document).alias("value")).write.option("compression", "gzip").text(folder)
     return folder
 
 

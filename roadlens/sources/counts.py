@@ -36,6 +36,10 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 KEY_BLOCK = 10_000
 
 
+#: Up to so many new events are told to all readers of the documents; beyond that, both are shuffled.
+BROADCAST_EVENTS = 500_000
+
+
 def numbered(rows: DataFrame, order: list[str], start: int = 0) -> DataFrame:
     """``id`` from ``start`` + 1 in the given order, whose first column is a whole number.
 
@@ -94,7 +98,8 @@ def load(
     document of one makes it, sessions or not. A document without sessions makes no event; of several of a
     location and day the first makes it, and brings its sessions. What is already in ``locations`` and
     ``events`` is used, and neither made anew nor given more sessions. Ids go on behind the largest of each table.
-    ``kept`` may write what several tables are made from, so that documents are read once.
+    ``kept`` may write what several tables are made from, so that documents are read once. Which documents make events
+    is told without their sessions; only those of new events are fetched.
     """
     valid = documents.filter(valid_coordinates())
     flat = valid.select(
@@ -113,6 +118,7 @@ def load(
             )
         ).alias("metadata"),
         loose_date(F.col("metadata.date")).alias("counting_date"),
+        F.coalesce(F.size("data.sessions") > 0, F.lit(False)).alias("counted"),
         F.col("data.sessions").alias("sessions"),
     )
     flat = kept(flat)
@@ -124,13 +130,15 @@ def load(
     if locations is not None:
         named = named.unionByName(locations.select(F.col("id").alias("location_id"), F.col("name").alias("__name")))
 
-    held = flat.filter(F.coalesce(F.size("sessions") > 0, F.lit(False))).join(named, F.col("name") == F.col("__name"))
-    held = held.select("position", "location_id", "counting_date", "sessions", *[c.alias(n) for n, c in session_totals(F.col("sessions")).items()])
-    new = first_wins(held, ["location_id", "counting_date"], ["position"])
+    held = flat.filter("counted").select("position", "name", "counting_date").join(named, F.col("name") == F.col("__name"))
+    first = first_wins(held.select("position", "location_id", "counting_date"), ["location_id", "counting_date"], ["position"])
     if events is not None:
         there = events.select(F.col("location_id").alias("__place"), F.col("counting_date").alias("__day"))
-        new = new.join(there, (F.col("location_id") == F.col("__place")) & (F.col("counting_date") == F.col("__day")), "left_anti")
-    new = kept(numbered(new, ["position"], last_id(events)))
+        first = first.join(there, (F.col("location_id") == F.col("__place")) & (F.col("counting_date") == F.col("__day")), "left_anti")
+    first = kept(numbered(first, ["position"], last_id(events))).withColumnRenamed("position", "__first")
+    few = first.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS
+    new = flat.select("position", "sessions").join(F.broadcast(first) if few else first, F.col("position") == F.col("__first"))
+    new = kept(new.select("id", "location_id", "counting_date", "sessions", *[c.alias(n) for n, c in session_totals(F.col("sessions")).items()]))
     event_columns = ["id", "location_id", "counting_date", "start_time", "end_time", "total_cyclists", "max_hour_cyclists"]
 
     spread = new.select(F.col("id").alias("event_id"), F.posexplode("sessions").alias("__place", "s"))

@@ -40,21 +40,38 @@ def read_years(spark: SparkSession, folder: str, *, drop_uneven: bool = False) -
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType | None = None, *, lines: bool = False) -> DataFrame:
-    """The documents of JSON arrays, or with ``lines`` one of each line, with ``position``, which orders those of a file.
+    """The documents of JSON arrays, or with ``lines`` one of each line, with ``position``, which orders them: by the
+    names of their files, and as they stand in each.
 
     Without a schema a document is one text column ``document``, whatever its shape. An array is read whole, by
     one task a file and up to 2 GB; more comes in several files, or as lines, which are split like any text.
     """
-    text = spark.read.text(path, wholetext=not lines)
+    raw = spark.read.text(path, wholetext=not lines)
+    found = sorted(raw.inputFiles())
     kind = T.StringType() if schema is None else schema
+    text = raw.select("value", F.input_file_name().alias("file"))
     if lines:
-        each = text.filter(F.trim("value") != "").select(F.col("value") if schema is None else F.from_json("value", kind).alias("value"))
+        each = text.filter(F.trim("value") != "")
     else:
-        each = text.select(F.explode(F.from_json("value", T.ArrayType(kind))).alias("value"))
-    each = each.select(F.monotonically_increasing_id().alias("position"), F.col("value").alias("document"))
+        each = text.select(F.explode(F.from_json("value", T.ArrayType(kind))).alias("value"), "file")
+    each = each.select(F.monotonically_increasing_id().alias("position"), "value", "file")
+    if len(found) > 1:
+        each = _by_file(spark, each, found)
+    document = F.from_json("value", kind) if lines and schema is not None else F.col("value")
+    each = each.select("position", document.alias("document"))
     return each if schema is None else each.select("position", "document.*")
 
 
+def _by_file(spark: SparkSession, rows: DataFrame, found: list[str]) -> DataFrame:
+    """``position`` with the place of the row's ``file`` among those found in its upper bits: Spark reads long files
+    first. A position that doesn't fit in what is left is an error, and so is a file that wasn't found."""
+    room = 1 << 63 - len(found).bit_length()
+    places = spark.createDataFrame(list(enumerate(found)), "place long, found string")
+    joined = rows.join(F.broadcast(places), F.col("file") == F.col("found"), "left")
+    fits = F.when(F.col("position") < room, F.col("place") * room + F.col("position"))
+    return joined.withColumn("position", F.coalesce(fits, F.raise_error(F.lit("a document's position can't be told from its file")).cast("long")))
+
+
 def object_store(endpoint: str, region: str, key: str, secret: str) -> dict[str, str]:
     """Settings under which s3a:// paths reach an S3-compatible store by path-style addresses."""
     base = "spark.hadoop.fs.s3a."

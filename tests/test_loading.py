@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from roadlens import ingest_queries
 from roadlens.functions import scalars as S
 from roadlens.plans import schemas
 from roadlens.sources import counts, deaths, files, loading, profiles, tables
@@ -258,6 +259,46 @@ def test_documents_as_lines(spark, tmp_path):
     assert files.read_documents(spark, str(tmp_path / "c.jsonl"), lines=True).columns == ["position", "document"]
 
 
+def test_documents_follow_their_files_names(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    names = iter(f"{i:03d}" for i in range(100))
+    for place, n in enumerate((1, 3, 40, 2)):  # Spark reads the longest first
+        docs = [document(next(names), "2013-3-25", sessions=[1]) for _ in range(n)]
+        (folder / f"{place}.jsonl").write_text("\n".join(map(json.dumps, docs)) + "\n")
+        (folder / f"{place}.json").write_text(json.dumps(docs))
+    for kind in ("jsonl", "json"):
+        got = files.read_documents(spark, f"{folder}/*.{kind}", schemas.COUNT_DOCUMENT, lines=kind == "jsonl").orderBy("position").collect()
+        assert [r["metadata"]["name"] for r in got] == [f"{i:03d}" for i in range(46)] and len({r["position"] for r in got}) == 46
+        texts = files.read_documents(spark, f"{folder}/*.{kind}", lines=kind == "jsonl").orderBy("position").collect()
+        assert [json.loads(r["document"])["metadata"]["name"] for r in texts] == [f"{i:03d}" for i in range(46)]
+
+
+def test_documents_are_written_by_several_tasks(spark):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        folder = ingest_queries.count_documents(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(setting)
+    rows = spark.read.text(folder).groupBy(F.input_file_name()).count().collect()
+    assert len(rows) == 4 and max(r["count"] for r in rows) < 0.5 * sum(r["count"] for r in rows)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey").collect()
+    got = files.read_documents(spark, folder, schemas.COUNT_DOCUMENT, lines=True).orderBy("position").collect()
+    assert [(r["metadata"]["name"], r["metadata"]["date"]) for r in got] == [(f"place {o['o_custkey'] % 10}", f"{(d := o['o_orderdate']).year}-{d.month}-{d.day}") for o in orders]
+
+
+@pytest.mark.parametrize("bound", [counts.BROADCAST_EVENTS, 1])
+def test_events_are_chosen_without_their_sessions(spark, documents, monkeypatch, bound):
+    seen, first_wins = [], counts.first_wins
+    monkeypatch.setattr(counts, "first_wins", lambda rows, *a: seen.append(set(rows.columns)) or first_wins(rows, *a))
+    monkeypatch.setattr(counts, "BROADCAST_EVENTS", bound)
+    got = counts.load(documents)
+    assert seen and not any("sessions" in columns for columns in seen)
+    assert [(e["id"], e["location_id"], e["counting_date"], e["total_cyclists"]) for e in got.events.orderBy("id").collect()] == [(1, 1, dt.date(2013, 3, 25), 14), (2, 1, dt.date(2014, 1, 2), 4)]
+    assert [(r["id"], r["event_id"], r["total_cyclists"]) for r in got.sessions.orderBy("id").collect()] == [(1, 1, 5), (2, 1, 9), (3, 2, 0), (4, 2, 4)]
+
+
 def test_schemas():
     assert {n: len(t.fields) for n, t in schemas.TABLES.items()} == {"traffic_deaths": 51, "counting_locations": 9, "counting_events": 11, "counting_sessions": 9, "session_movements": 6, "cyclist_profiles": 5}
     assert "PARTITIONED BY (data_year)" in schemas.ddl("traffic_deaths") and len(schemas.MOVEMENT_KEYS) == 12
