@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from roadlens import ingest_queries
+from roadlens.catalogue import SQL
 from roadlens.functions import scalars as S
 from roadlens.plans import schemas
 from roadlens.sources import counts, deaths, files, loading, profiles, tables
@@ -299,6 +301,22 @@ def test_events_are_chosen_without_their_sessions(spark, documents, monkeypatch,
     assert [(r["id"], r["event_id"], r["total_cyclists"]) for r in got.sessions.orderBy("id").collect()] == [(1, 1, 5), (2, 1, 9), (3, 2, 0), (4, 2, 4)]
 
 
+def test_both_loads_read_what_several_tasks_wrote(spark, monkeypatch):
+    folders, written, setting = [], ingest_queries.count_documents, "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(ingest_queries, "count_documents", lambda *a: folders.append(written(*a)) or folders[-1])
+    spark.conf.set(setting, "false")
+    try:
+        rows = ingest_queries.counts_load_twice(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset(setting)
+    assert [len(set(spark.read.text(f).inputFiles())) for f in folders] == [4, 4]
+    with duckdb.connect() as db:
+        for t in ("orders", "lineitem"):
+            db.sql(f"create view {t} as from '/root/testdata/sf0.001/{t}.parquet'")
+        want = db.sql(SQL["counts_load_twice"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
 def test_schemas():
     assert {n: len(t.fields) for n, t in schemas.TABLES.items()} == {"traffic_deaths": 51, "counting_locations": 9, "counting_events": 11, "counting_sessions": 9, "session_movements": 6, "cyclist_profiles": 5}
     assert "PARTITIONED BY (data_year)" in schemas.ddl("traffic_deaths") and len(schemas.MOVEMENT_KEYS) == 12
