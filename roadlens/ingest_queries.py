@@ -131,20 +131,30 @@ def death_load_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Counts documents: an order is a document of its customer's place, its lines are sessions.
 
 
+_BACKWARDS = MOVEMENT_KEYS[::-1]
+
+
+def order_numbers(lines: DataFrame) -> DataFrame:
+    """Of each order its lines' numbers, quantities and places of their pairs of directions, in order.
+
+    Lines are dealt by their order as they are read: lists made before that hold hardly more than a line each, and
+    their sort takes memory that grows with the files' splits.
+    """
+    start = F.col("l_suppkey") % 4
+    pair = F.concat_ws("_", A.direction(start), A.direction((start + 1 + F.col("l_partkey") % 3) % 4))
+    numbers = lines.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("n"), F.array_position(F.array(*map(F.lit, _BACKWARDS)), pair).cast("int").alias("pair"))
+    return numbers.repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "n", "pair"))).alias("numbers"))
+
+
 def count_documents(spark: SparkSession, sf_dir: str, which: str = "true") -> str:
     """Files of documents, a line each, in the order of their keys from file to file. The place with key 5 has a zero
     coordinate. Sessions are three numbers until their order's document is written, and no task orders all documents."""
-    lines = A.table(spark, sf_dir, "lineitem")
-    start = F.col("l_suppkey") % 4
-    pair = F.concat_ws("_", A.direction(start), A.direction((start + 1 + F.col("l_partkey") % 3) % 4))
-    backwards = MOVEMENT_KEYS[::-1]
-    number = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("n"), F.array_position(F.array(*map(F.lit, backwards)), pair).cast("int").alias("pair"))
     hour = lambda line, n: F.concat(F.lit("2013-03-25T"), F.lpad((line + n).cast("string"), 2, "0"), F.lit(":00:00"))
     session = lambda s: F.struct(
         s["l_linenumber"].alias("l_linenumber"), s["n"].alias("total_cyclists"), hour(s["l_linenumber"], 5).alias("start_time"), hour(s["l_linenumber"], 6).alias("end_time"), F.concat(F.lit("s"), s["l_linenumber"]).alias("session"),
-        F.struct(*[F.when(s["pair"] == backwards.index(k) + 1, s["n"]).otherwise(0).alias(k) for k in MOVEMENT_KEYS]).alias("quantitative"), F.struct(F.lit(1).alias("helmet")).alias("characteristics"),
+        F.struct(*[F.when(s["pair"] == _BACKWARDS.index(k) + 1, s["n"]).otherwise(0).alias(k) for k in MOVEMENT_KEYS]).alias("quantitative"), F.struct(F.lit(1).alias("helmet")).alias("characteristics"),
     )
-    held = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(number)).alias("numbers"))
+    held = order_numbers(A.table(spark, sf_dir, "lineitem"))
     orders = A.table(spark, sf_dir, "orders").filter(which).join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     placed = orders.select("o_orderkey", "o_custkey", "o_orderdate", "numbers").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     key = (F.col("o_custkey") % A.PLACES).cast("int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import warnings
 from dataclasses import dataclass, field
@@ -64,9 +65,11 @@ def read_documents(spark: SparkSession, path: str, schema: T.StructType | None =
 
 def _by_file(spark: SparkSession, rows: DataFrame, found: list[str]) -> DataFrame:
     """``position`` with the place of the row's ``file`` among those found in its upper bits: Spark reads long files
-    first. A position that doesn't fit in what is left is an error, and so is a file that wasn't found."""
+    first. A position that doesn't fit in what is left is an error, and so is a file that wasn't found. The names are
+    told as one value: rows made from Python objects would start Python workers beside the JVM of each executor."""
     room = 1 << 63 - len(found).bit_length()
-    places = spark.createDataFrame(list(enumerate(found)), "place long, found string")
+    names = F.from_json(F.lit(json.dumps(found)), "array<string>")
+    places = spark.range(0, 1, 1, 1).select(F.posexplode(names).alias("place", "found")).withColumn("place", F.col("place").cast("long"))
     joined = rows.join(F.broadcast(places), F.col("file") == F.col("found"), "left")
     fits = F.when(F.col("position") < room, F.col("place") * room + F.col("position"))
     return joined.withColumn("position", F.coalesce(fits, F.raise_error(F.lit("a document's position can't be told from its file")).cast("long")))

@@ -301,6 +301,29 @@ def test_events_are_chosen_without_their_sessions(spark, documents, monkeypatch,
     assert [(r["id"], r["event_id"], r["total_cyclists"]) for r in got.sessions.orderBy("id").collect()] == [(1, 1, 5), (2, 1, 9), (3, 2, 0), (4, 2, 4)]
 
 
+def test_lines_are_dealt_by_order_before_they_are_gathered(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = ingest_queries.order_numbers(lines)._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("Exchange")
+    assert "collect_list" in plan[:dealt] and "collect_list" not in plan[dealt:]
+    want = {}
+    for r in lines.collect():
+        pair = schemas.DIRECTIONS[r["l_suppkey"] % 4] + "_" + schemas.DIRECTIONS[(r["l_suppkey"] % 4 + 1 + r["l_partkey"] % 3) % 4]
+        want.setdefault(r["l_orderkey"], []).append((r["l_linenumber"], int(r["l_quantity"]), len(schemas.MOVEMENT_KEYS) - schemas.MOVEMENT_KEYS.index(pair)))
+    got = {r["l_orderkey"]: [tuple(n) for n in r["numbers"]] for r in ingest_queries.order_numbers(lines).collect()}
+    assert got == {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_documents_of_several_files_are_read_without_python(spark, tmp_path, lines):
+    for name in ("a", 'b "quoted" é'):
+        docs = [document(name, "2013-3-25", sessions=[1])]
+        (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, docs)) if lines else json.dumps(docs))
+    got = files.read_documents(spark, str(tmp_path), schemas.COUNT_DOCUMENT, lines=lines)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r["metadata"]["name"] for r in got.orderBy("position").collect()] == ["a", 'b "quoted" é']
+
+
 def test_both_loads_read_what_several_tasks_wrote(spark, monkeypatch):
     folders, written, setting = [], ingest_queries.count_documents, "spark.sql.adaptive.coalescePartitions.enabled"
     monkeypatch.setattr(ingest_queries, "count_documents", lambda *a: folders.append(written(*a)) or folders[-1])
